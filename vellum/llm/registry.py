@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, shards
+from . import digest_dedup, mixing, packing, shards
 
 QUERIES = {
     "op4_digest_dedup": digest_dedup.op4_digest_dedup,
+    "op6_complement_packing": packing.op6_complement_packing,
+    "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op8_hypergeometric_shards": shards.op8_hypergeometric_shards,
 }
 
