@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, mixing, packing, shards
+from . import digest_dedup, mixing, packing, shards, warc
 
 QUERIES = {
+    "op2_indexed_warc": warc.op2_indexed_warc,
     "op4_digest_dedup": digest_dedup.op4_digest_dedup,
     "op6_complement_packing": packing.op6_complement_packing,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_indexed_warc": warc.OP2_SQL,
     "op4_digest_dedup": digest_dedup.OP4_SQL,
 }
