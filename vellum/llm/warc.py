@@ -117,7 +117,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
                 for r in batch.to_pylist():
                     if out is None:
                         store.create_dir(root, recursive=True)
-                        out = store.open_output_stream(f"{root}/{name}")
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     payload = (r["html"] or "").encode()
                     digest = payload_digest(payload)
                     refers = (r["to_page"], r["to_row"], r["to_url"]) if r["to_row"] is not None else None
