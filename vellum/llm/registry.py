@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, mixing, packing, shards, warc
+from . import digest_dedup, mixing, near_dedup, packing, shards, warc
 
 QUERIES = {
     "op2_indexed_warc": warc.op2_indexed_warc,
     "op4_digest_dedup": digest_dedup.op4_digest_dedup,
+    "op5_minhash_components": near_dedup.op5_minhash_components,
     "op6_complement_packing": packing.op6_complement_packing,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op8_hypergeometric_shards": shards.op8_hypergeometric_shards,
