@@ -7,10 +7,9 @@ a piece finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,46 +20,52 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, table
 
-#: Texts with other white space than single spaces and line feeds between words are encoded whole.
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: What may follow a letter or digit as a token of its own.
+_TAIL = ".,;:!?%&$*#|"
+
+
+class _Chunks(dict):
+    """Ids of chunks, each behind `before`, worked out when first asked for. The first
+    `remembered` stay: they hold nearly all the frequent ones."""
+
+    def __init__(self, tokenizer, before: str, tails: "_Chunks | None", remembered: int):
+        self.tokenizer, self.before, self.remembered = tokenizer, before, remembered
+        self.tails = self if tails is None else tails
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(_TAIL)
+        if core and core != chunk and core[-1].isalnum():  # the pre-tokenizer splits there
+            ids = self[core] + self.tails[chunk[len(core) :]]
+        else:
+            ids = array("I", self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids).tobytes()
+        if len(self) < self.remembered:
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
-    """Byte-level BPE ids as little-endian 32-bit words, remembering space-separated chunks.
+    """Byte-level BPE ids as 32-bit words, from what it remembers of space-separated chunks.
 
     A byte-level pre-tokenizer never merges across the start of " word", so in texts whose words
-    stand between single spaces or line feeds each chunk has ids of its own.
+    stand between single spaces or line feeds each chunk has ids of its own. Other texts are
+    encoded whole.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.line = self.ids(["\n"])[0]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], wanted: set[str], before: str) -> None:
-        if len(known) > self.remembered:
-            known.clear()
-        else:
-            wanted -= known.keys()
-        new = list(wanted)
-        known.update(zip(new, self.ids([before + c for c in new])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = [line for text in split if text for line in text]
-        self._learn(self.plain, {line[0] for line in lines}, "")
-        self._learn(self.spaced, set(chain.from_iterable(line[1:] for line in lines)), " ")
+        self.plain = _Chunks(self.tokenizer, "", None, remembered // 4)
+        self.spaced = _Chunks(self.tokenizer, " ", self.plain, remembered)
+        self.line = self.plain["\n"]
+
+    def encode(self, text: str) -> bytes:
+        lines = [line.split(" ") for line in text.split("\n")]
+        if text.split() != [chunk for line in lines for chunk in line]:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         plain, spaced = self.plain, self.spaced.__getitem__
-        odd = iter(self.ids([t for t, s in zip(texts, split) if s is None]))
-        return [next(odd) if s is None else self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in s]) for s in split]
+        return self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in lines])
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -96,8 +101,8 @@ def token_pieces(docs: DataFrame, room: int, end_id: int, tokenizer: str | None
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 out: list[tuple] = []
-                for doc_id, ids in zip(rows["doc_id"].to_pylist(), coder.encode([t or "" for t in rows["text"].to_pylist()])):
-                    ids += end
+                for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"]):
+                    ids = coder.encode(text.as_py() or "") + end
                     n = len(ids) // 4
                     first = n if n <= room else n % room or room
                     start, piece = 0, 0
@@ -203,7 +208,7 @@ def pack(pieces: DataFrame, room: int, scratch: Scratch) -> DataFrame:
         histogram[length] = n
     at = places(plan_patterns(histogram, room), room)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")).hint("merge")
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "part", "nth")
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank"]
 
