@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, mixing, near_dedup, packing, shards, warc
+from . import digest_dedup, hmm_score, mixing, near_dedup, packing, shards, warc
 
 QUERIES = {
     "op2_indexed_warc": warc.op2_indexed_warc,
+    "op3_hmm_scores": hmm_score.op3_hmm_scores,
     "op4_digest_dedup": digest_dedup.op4_digest_dedup,
     "op5_minhash_components": near_dedup.op5_minhash_components,
     "op6_complement_packing": packing.op6_complement_packing,
