@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, hmm_score, mixing, near_dedup, packing, shards, warc
+from . import digest_dedup, hmm_score, mixing, near_dedup, packing, shards, warc, weak_quality
 
 QUERIES = {
     "op2_indexed_warc": warc.op2_indexed_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_minhash_components": near_dedup.op5_minhash_components,
     "op6_complement_packing": packing.op6_complement_packing,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
+    "op10_weak_label_quality": weak_quality.op10_weak_label_quality,
     "op8_hypergeometric_shards": shards.op8_hypergeometric_shards,
 }
 
