@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, hmm_score, mixing, near_dedup, packing, shards, warc, weak_quality
+from . import digest_dedup, hilbert_ann, hmm_score, mixing, near_dedup, packing, shards, warc, weak_quality
 
 QUERIES = {
     "op2_indexed_warc": warc.op2_indexed_warc,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
     "op10_weak_label_quality": weak_quality.op10_weak_label_quality,
     "op8_hypergeometric_shards": shards.op8_hypergeometric_shards,
+    "op9_hilbert_neighbours": hilbert_ann.op9_hilbert_neighbours,
 }
 
 SQL = {
     "op2_indexed_warc": warc.OP2_SQL,
     "op4_digest_dedup": digest_dedup.OP4_SQL,
+    "op9_hilbert_neighbours": hilbert_ann.OP9_SQL,
 }
