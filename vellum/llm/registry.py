@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import digest_dedup, hilbert_ann, hmm_score, mixing, near_dedup, packing, shards, warc, weak_quality
+from . import digest_dedup, hilbert_ann, hmm_score, html_text, mixing, near_dedup, packing, shards, warc, weak_quality
 
 QUERIES = {
+    "op1_suffix_array_text": html_text.op1_suffix_array_text,
     "op2_indexed_warc": warc.op2_indexed_warc,
     "op3_hmm_scores": hmm_score.op3_hmm_scores,
     "op4_digest_dedup": digest_dedup.op4_digest_dedup,
