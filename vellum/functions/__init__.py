@@ -1 +1 @@
-"""See the package README."""
+"""Functions: byte-level decoders for Arrow stages, and Column builders for everything after."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators: the tables of a note, per-page summaries, SVG and PNG."""

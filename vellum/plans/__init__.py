@@ -1 +1 @@
-"""See the package README."""
+"""Plans: every operator as a query over the driver's tables, with the same in SQL."""

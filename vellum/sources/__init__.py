@@ -1 +1 @@
-"""See the package README."""
+"""Sources: containers from files, bytes, SQL and streams."""

@@ -1 +1 @@
-"""See the package README."""
+"""Streams of new containers."""
