@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table, text_or_empty
 
 PLAIN, CONTENT = 0, 1
+#: Rows of a host's name and a number that may be broadcast; more are joined by a shuffle.
+SMALL = 250_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -198,9 +200,11 @@ def extract_text(pages: DataFrame, scratch: Scratch, run: int = 12, pages_at_onc
     host = F.lower(F.regexp_extract(text_or_empty("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     blocks = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html")
     blocks = blocks.mapInArrow(parse, "page_id long, url string, host string, zones array<int>, texts array<string>")
-    blocks = scratch.put(blocks.withColumn("row", F.monotonically_increasing_id()), "blocks")
-    hosts = scratch.put(blocks.groupBy("host").agg(F.ceil(F.count("*") / pages_at_once).alias("groups")), "hosts")
-    grouped = blocks.join(hosts, "host").withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")))
+    blocks = blocks.withColumn("row", F.monotonically_increasing_id())
+    large = pages.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / pages_at_once).alias("groups")).where("groups > 1")
+    large = scratch.put(large, "hosts")
+    large = F.broadcast(large) if large.count() <= SMALL else large.hint("merge")
+    grouped = blocks.join(large, "host", "left").withColumn("group", F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1))))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
