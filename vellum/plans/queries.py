@@ -537,3 +537,85 @@ def json_export(spark, d):
 def entry_listing(spark, d):
     got = notes.listing(entries_of(containers(spark, d), ()))
     return got.select("path", F.when(F.col("purpose") == "page", ".page").otherwise(F.col("name")).alias("name"))
+
+
+@query(f"""WITH {INK}, s AS (SELECT {PATH} AS path, user_id, count(*) AS n, sum(CASE WHEN i > 0 THEN k ELSE 0 END) AS pressed FROM ink GROUP BY user_id, stroke)
+SELECT path, 0 AS page_ordinal, CAST(coalesce(sum(n - 1) FILTER (WHERE pressed > 14), 0) AS BIGINT) AS lines, count(*) FILTER (WHERE pressed <= 14 AND n > 1) AS polylines, printf('#%02x0102', user_id % 256) AS paper FROM s GROUP BY path, user_id""")
+def svg_shapes(spark, d):
+    """What the drawn pages consist of, counted in their text."""
+    count = lambda what: F.regexp_count("svg", F.lit(what)).cast("bigint")
+    return _svgs(spark, d).select("path", "page_ordinal", count("<line ").alias("lines"), count("<polyline ").alias("polylines"), F.regexp_extract("svg", r'<rect x="0" y="0"[^>]*fill="(#[0-9a-f]{6})"', 1).alias("paper"))
+
+
+@query(f"""WITH {INK} SELECT DISTINCT {PATH} AS path, '89504E470D0A1A0A' AS signature, 1080::BIGINT AS width, 1527::BIGINT AS height FROM ink""")
+def png_header(spark, d):
+    png = F.hex(F.substring("png", 1, 24))
+    size = lambda at: F.conv(F.substring(png, at, 8), 16, 10).cast("bigint")
+    return raster.page_png(_svgs(spark, d)).select("path", F.substring(png, 1, 16).alias("signature"), size(33).alias("width"), size(41).alias("height"))
+
+
+@query(f"""WITH {INK}, s AS (SELECT {PATH} AS path, user_id, stroke, count(*) AS n FROM ink GROUP BY user_id, stroke)
+SELECT path, count(*) AS strokes, CAST(sum(n) AS BIGINT) AS points, path AS uuid, user_id * 1000 AS created_ms FROM s GROUP BY path, user_id""")
+def json_facts(spark, d):
+    """Facts read back from the exported JSON."""
+    page = "struct<uuid:string,strokes:array<struct<points:array<struct<x:double,y:double>>>>>"
+    doc = sinks.document_json(entries_of(containers(spark, d))).select("path", F.from_json("json", f"struct<pages:array<{page}>,metadata:struct<created_ms:bigint>>").alias("j"))
+    first = F.get(F.col("j.pages"), F.lit(0))
+    points = F.aggregate(first["strokes"], F.lit(0).cast("bigint"), lambda t, s: t + F.size(s["points"]))
+    return doc.select("path", F.size(first["strokes"]).cast("bigint").alias("strokes"), points.alias("points"), first["uuid"].alias("uuid"), F.col("j.metadata.created_ms").alias("created_ms"))
+
+
+@query(f"""WITH {INK} SELECT path, event_type, n FROM (SELECT {PATH} AS path, CASE WHEN event_type = 'view' THEN '(default)' ELSE printf('#%02x141e', length(event_type)) END AS event_type, count(*) AS n
+  FROM ink WHERE i = 0 GROUP BY ALL) q""")
+def container_colors(spark, d):
+    facts = notes.stroke_facts(entries_of(containers(spark, d)))
+    return summary.color_distribution(facts).select("path", F.col("color_hex").alias("event_type"), F.col("strokes").alias("n"))
+
+
+@query(f"""WITH {INK}, p AS (SELECT {PATH} AS path, stroke % {NOTE_STROKES} AS stroke_ordinal, user_id, stroke, i, CASE WHEN i > 0 THEN k END AS k FROM ink),
+c AS (SELECT path, stroke_ordinal, sum(k % 7) {RUN} AS t, sum(k % 5 - 2) {RUN} AS x, i FROM p)
+SELECT path, CAST(stroke_ordinal AS INTEGER) AS stroke_ordinal, CAST(min(t) AS BIGINT) AS t_min, CAST(max(t) AS BIGINT) AS t_max, CAST(min(x) AS BIGINT) AS x_min, CAST(max(x) AS BIGINT) AS x_max FROM c GROUP BY path, stroke_ordinal""")
+def container_channel_ranges(spark, d):
+    got = summary.channel_ranges(notes.strokes(entries_of(containers(spark, d))))
+    return got.select("path", "stroke_ordinal", F.col("timestamps_min").alias("t_min"), F.col("timestamps_max").alias("t_max"), F.col("tilt_x_min").alias("x_min"), F.col("tilt_x_max").alias("x_max"))
+
+
+@query(f"""WITH {INK}, s AS (SELECT {PATH} AS path, count(*) AS strokes, count(*) FILTER (WHERE first <> 'view') AS with_color, CAST(sum(n) AS BIGINT) AS points FROM (
+  SELECT user_id, stroke, count(*) AS n, max(CASE WHEN i = 0 THEN event_type END) AS first FROM ink GROUP BY user_id, stroke) q GROUP BY path)
+SELECT path, strokes AS declared, strokes AS decoded, points, with_color FROM s""")
+def container_coverage(spark, d):
+    entries = entries_of(containers(spark, d))
+    return summary.coverage(notes.pages(entries), notes.stroke_facts(entries)).select("path", "declared", "decoded", "points", "with_color")
+
+
+def media_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: notes of up to twenty web pages each, as media with numbered names."""
+    rows = _names(spark, sf_dir).join(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    made = rows.groupBy("note").agg(F.array_sort(F.collect_list(F.struct("page_id", "name", "html"))).alias("files"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for files in batch["files"].to_pylist():
+                page = E.Page(elements=[E.Element((10, 10, 100, 50)), E.Element((10, 60, 100, 90))])
+                blobs.append(E.note([page], [(f["name"].removeprefix("media/"), (f["html"] or "").encode()) for f in files]))
+            yield pa.RecordBatch.from_arrays([batch["note"].cast(pa.string()), pa.array(blobs, pa.binary())], names=["path", "content"])
+
+    return made.mapInArrow(encode, "path string, content binary")
+
+
+MEDIA = f"""{NAMES}, m AS (SELECT CAST(n.note AS VARCHAR) AS path, n.name, p.html, row_number() OVER (PARTITION BY n.note ORDER BY TRY_CAST(regexp_extract(n.name, '/([0-9]+)@', 1) AS BIGINT) NULLS LAST, n.page_id) - 1 AS media_index
+  FROM names n JOIN pages p ON n.page_id = p.page_id)"""
+
+
+@query(f"WITH {MEDIA} SELECT path, CAST(media_index AS INTEGER) AS media_index, name, sha256(html) AS sha FROM m")
+def container_media(spark, d):
+    return notes.media(entries_of(media_notes(spark, d))).select("path", "media_index", "name", F.sha2("data", 256).alias("sha"))
+
+
+@query(f"WITH {MEDIA} SELECT path, CAST(media_index AS INTEGER) AS element_ordinal, name FROM m WHERE media_index < 2")
+def container_images(spark, d):
+    """Placed images with the media that their number on the page stands for."""
+    entries = entries_of(media_notes(spark, d))
+    placed = notes.elements(entries).where("kind = 'image'").join(notes.media(entries), ["path", "media_index"])
+    return placed.select("path", "element_ordinal", "name")
