@@ -37,6 +37,7 @@ from vellum.llm.packing import ChunkEncoder, encoder, pack, plan_patterns, token
         ("<article><p>q</p><div class='ad'>no</div> <ul><li>one<li>two</ul></article>", "q\none\ntwo"),
         ("<p>unclosed <i>x", "unclosed x"),
         ("<script>never closed", ""),
+        ("<p title='x>y</p><p>z</p>", "y\nz"),
     ],
 )
 def test_page(page, want):

@@ -26,6 +26,7 @@ PLAIN, CONTENT = 0, 1
 SMALL = 250_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # with a quote that never ends
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -83,6 +84,8 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
 
     at = 0
     while match := _TOKEN.match(page, at):
+        if match[0] == "<":
+            match = _LOOSE.match(page, at) or match
         at = match.end()
         closing, name, attributes = match.groups()
         if name is None:
