@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Edges in one partition: the rounds are small jobs, and are cut to the size of their data.
+EDGES = 200_000
+#: A node's rows meet its minimum in so many parts, as one node may have a third of all edges.
+SALTS = 16
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges and a sum over them: equal marks, equal edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+def _meet(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of least (u, m)."""
+    salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -18,27 +24,33 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for every node that has an edge to another.
 
     A large-star step links each node's larger neighbours to its smallest one, a small-star step
-    does so with the smaller ones; in the end each component is a star. Minima are combined
-    before the shuffle and written out, so that a hub's rows can be split over tasks. An empty
-    table gives no rows.
+    does so with the smaller ones; in the end each component is a star. Each round is written
+    out, and the rounds end when one changes nothing. An empty table gives no rows.
     """
     a, b = edges.columns[:2]
-    kept = scratch.put(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = _mark(kept)
+
+    parts = max(1, -(-edges.count() // EDGES))
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts)
+
+    def put(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = scratch.put(cut(df.distinct()).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "edges")
+        return out, tuple(sorted(seen.get.items()))
+
+    kept, mark = put(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.put(large, "large")
-        least2 = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = large.join(least2, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least2.select("u", F.col("m").alias("v")))
-        new = scratch.put(small.distinct(), "edges")
-        new_mark = _mark(new)
-        scratch.drop(kept, least, large, least2)
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = cut(_meet(both.where("v > u"), least)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = cut(_meet(large, least)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, new_mark = put(small.unionByName(least.select("u", F.col("m").alias("v"))))
+        scratch.drop(kept)
         kept = new
         if new_mark == mark:
             break
         mark = new_mark
-    roots = kept.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    roots = cut(kept.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     return scratch.put(kept.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

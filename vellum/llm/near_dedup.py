@@ -3,12 +3,15 @@
 Documents with the same shingle set are one class. A class has `bands` bands of `rows` minima.
 Links are looked for so that no group emits all its pairs:
 
-1. In each bucket every class is compared with the bucket's smallest class. What links is joined
-   to components, which is all that a large group of close copies needs.
-2. Only a bucket whose members are still in different components has pairs left to try. A large
-   one is split by its members' other bands, and step 1 runs on the parts.
-3. Pairs across components that are left are compared by their signatures in blocks of bounded
-   size, and what may link is confirmed.
+1. In each bucket of a few bands every class is compared with the bucket's smallest class; each
+   class tries the centre most like it. What links is joined to components, which is all that a
+   large group of close copies needs.
+2. Only a bucket of any band whose members are still in different components has pairs left to
+   try. In a few turns, each with another member as the centre, the members outside the centre's
+   component are compared with the centre.
+3. In buckets that are open even then, the members outside the centre's component are compared
+   with all members, in blocks of bounded size that hold signatures and sets of 32-bit hashes.
+   A member needs one link to each other component, so a block yields few pairs, not all.
 
 A pair goes on to the full sets unless its signatures differ by five standard deviations from
 what the threshold asks for, and full sets alone decide.
@@ -16,6 +19,7 @@ what the threshold asks for, and full sets alone decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,11 +31,20 @@ from pyspark.sql import functions as F
 from .common import Scratch, table, text_or_empty
 from .components import connected_components
 
-#: Bucket sizes up to which pairs are compared in one block.
-BLOCK = 256
+#: Members outside, and members, that are compared in one block.
+BLOCK, MEMBERS = 256, 4096
+#: In buckets of more members only so many bands are used that a pair at the threshold misses all
+#: of them this often at most: close copies have many bands in common.
+MISSED = 1e-4
+#: Centres that are tried before members are compared with each other.
+TURNS = 2
 #: Members that meet one centre's set in one group.
 CHUNK = 64
-REMEMBERED = 1_000_000
+#: Rows of some 60 bytes that may be broadcast; more are joined by a shuffle.
+SMALL = 250_000
+#: Bands of the first step.
+FIRST = 8
+REMEMBERED = 400_000
 
 _U64 = np.uint64
 
@@ -44,12 +57,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words. The first ones stay: they hold nearly all the frequent words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = value
         return value
 
 
@@ -136,6 +149,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, bands: int = 32, rows: int = 5, block: int = BLOCK):
         self.docs, self.scratch, self.k, self.num, self.den, self.bands, self.block = docs, scratch, k, num, den, bands, block
         goal = num / den
+        self.wide = min(bands, math.ceil(math.log(MISSED) / math.log(1 - goal**rows))) if goal < 1 else 1
         self.least = goal - 5 * (goal * (1 - goal) / (bands * rows)) ** 0.5
         self.profiles = scratch.put(_profiles(docs, k, bands, rows), "profiles")
         some = self.profiles.where("n > 0").groupBy("fp").agg(
@@ -146,13 +160,6 @@ class NearDuplicates:
 
     # links -------------------------------------------------------------------------------
 
-    def _stars(self, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """buckets: bucket, cid. Returns (bucket, centre, m) where m > 1, and the pairs a, b of
-        a bucket's smallest class with the others."""
-        centres = self.scratch.put(buckets.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("m")).where("m > 1"), "centres")
-        pairs = buckets.join(centres, "bucket").where("cid != centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-        return centres, pairs
-
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and signatures allow a link, with the share of equal minima."""
         least = self.least
@@ -171,36 +178,41 @@ class NearDuplicates:
 
         return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long, share double")
 
-    def _with_sets(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all classes in pairs; each is read from its text once."""
-        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    def _with_sets(self, wanted: DataFrame) -> DataFrame:
+        """cid, shingles (sorted 64-bit hashes) and low (their upper halves) of the wanted classes;
+        each is read from its text once."""
+        wanted = wanted.distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("cid"), "cid", "left_anti")
         wanted = self.scratch.put(wanted.join(self.classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.text_key").alias("_key")), "wanted")
-        if wanted.isEmpty():
+        few = wanted.count()
+        if not few:
             return self.sets
+        wanted = F.broadcast(wanted) if few <= SMALL else wanted.hint("merge")
         k = self.k
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [shingle_set(t.as_py(), k).tobytes() for t in batch["text"]]
-                yield pa.RecordBatch.from_arrays([batch["cid"], pa.array(sets, pa.binary())], names=["cid", "shingles"])
+                sets = [shingle_set(t.as_py(), k) for t in batch["text"]]
+                columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([(s >> _U64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch["cid"], *columns], names=["cid", "shingles", "low"])
 
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.md5(text_or_empty()))
         texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-        new = self.scratch.put(texts.select("cid", "text").mapInArrow(shingle, "cid long, shingles binary"), "sets")
+        new = self.scratch.put(texts.select("cid", "text").mapInArrow(shingle, "cid long, shingles binary, low binary"), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         return self.sets
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets link. A centre's members come in chunks, each of which meets
         one copy of the centre's set; no task holds more than one set beside the current one."""
-        sets, num, den = self._with_sets(pairs), self.num, self.den
+        sets, num, den = self._with_sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))), self.num, self.den
         if sets is None:
             return pairs.select("a", "b")
         sizes = self.scratch.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "sizes")
         members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
         members = members.join(sets, F.col("b") == F.col("cid")).select("a", "chunk", "b", "shingles")
+        sets = sets.select("cid", "shingles")
         heads = sizes.join(sets, F.col("a") == F.col("cid")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "shingles")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,90 +234,117 @@ class NearDuplicates:
         met = heads.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
         return met.select("a", "b", "shingles").mapInArrow(confirm, "a long, b long")
 
-    def _across(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose classes aren't in one component yet, with the components."""
-        for x in ("a", "b"):
-            if self.found is None:
-                pairs = pairs.withColumn(f"c{x}", F.col(x))
-            else:
-                own = self.found.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"k{x}"))
-                pairs = pairs.join(own, F.col(x) == F.col(f"n{x}"), "left").withColumn(f"c{x}", F.coalesce(f"k{x}", x)).drop(f"n{x}", f"k{x}")
-        return pairs.where("ca != cb")
-
     def _link(self, pairs: DataFrame) -> None:
-        """Confirm pairs (a, b, share): first the most similar centre of each class, then
-        whatever is still across components."""
-        pairs = self.scratch.put(self._across(pairs), "alike")
-        first = pairs.groupBy("b").agg(F.max_by("a", "share").alias("a"))
-        for step in (first, pairs):
-            rest = self.scratch.put(self._across(step.select("a", "b")).select("a", "b"), "rest")
-            if rest.isEmpty():
-                continue
-            new = self.scratch.put(self._confirmed(rest), "links")
-            if new.isEmpty():
-                continue
-            self.links = new if self.links is None else self.links.unionByName(new)
-            self.found = connected_components(self.links, self.scratch)
-
-    def _open(self, buckets: DataFrame, centres: DataFrame) -> DataFrame:
-        """bucket, cid, component, m of the buckets that have members in several components."""
-        members = buckets.join(centres.where("m > 2").select("bucket", "m"), "bucket")
-        if self.found is not None:
-            members = members.join(self.found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).drop("node")
-        else:
-            members = members.withColumn("component", F.col("cid"))
-        members = self.scratch.put(members.select("bucket", "cid", "component", "m"), "members")
-        several = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        return self.scratch.put(members.join(self.scratch.put(several, "several"), "bucket"), "open")
-
-    def _blocks(self, members: DataFrame) -> DataFrame:
-        """Pairs across components that may link, found in blocks of bounded size."""
-        least, num, den, block = self.least, self.num, self.den, self.block
-        parts = F.ceil(F.col("m") / block)
-        own = F.pmod(F.xxhash64("cid"), parts)
-        rows = members.join(self.classes.select("cid", "n", "sketch"), "cid").withColumn("parts", parts).withColumn("own", own)
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "component", "n", "sketch")
+        """Confirm pairs (a, b), and bring the components up to date."""
+        pairs = self.scratch.put(pairs.select("a", "b").distinct(), "alike")
+        if pairs.isEmpty():
+            return
+        new = self.scratch.put(self._confirmed(pairs), "links")
+        if new.isEmpty():
+            return
+        self.links = new if self.links is None else self.links.unionByName(new)
+        self.found = connected_components(self.links, self.scratch)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """rows (cid, ...) with the component that each class is in so far."""
+        if self.found is None:
+            return rows.withColumn("component", F.col("cid"))
+        return rows.join(self.found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid")).drop("node")
+
+    def _banded(self, some: int) -> DataFrame:
+        """bucket, band, cid, component of each class in its first `some` bands."""
+        rows = self._placed(self.classes.select("cid", "bands")).select("cid", "component", F.posexplode(F.slice("bands", 1, some)).alias("band", "key"))
+        return rows.select(F.xxhash64("band", "key").alias("bucket"), "band", "cid", "component")
+
+    def _open(self, rows: DataFrame, turn: int) -> DataFrame:
+        """The buckets with members in several components: size m, how many are outside, a centre
+        that depends on the turn, and its component. A bucket of two is done after turn 0."""
+        by = F.xxhash64("cid", F.lit(turn))
+        size = rows.groupBy("bucket").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.first("band").alias("at"), F.min_by("cid", by).alias("centre"), F.min_by("component", by).alias("own")
+        )
+        return self.scratch.put(size.where(F.col("lo") != F.col("hi")).where(F.col("m") > (2 if turn else 1)).drop("lo", "hi"), "open")
+
+    def _turn(self, turn: int) -> bool:
+        """Compare the members outside with their buckets' centres; whether anything is open."""
+        rows = self._banded(self.bands)
+        size = self._open(rows, turn)
+        if size.isEmpty():
+            return False
+        outside = rows.join(size, "bucket").where("component != own").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+        alike = self._alike(outside)
+        self._link(alike if not turn else alike.groupBy("b").agg(F.max_by("a", "share").alias("a")))
+        return True
+
+    def _blocks(self) -> DataFrame | None:
+        """Pairs across components that link by 32-bit hashes, or nearly: of each member outside
+        one for every other component that has one. None if no bucket is open."""
+        least, num, den, goal, wide = self.least, self.num, self.den, self.num / self.den, self.wide
+        rows = self._banded(self.bands)
+        size = self._open(rows, TURNS)
+        if size.isEmpty():
+            return None
+        size = size.where((F.col("m") <= self.block) | (F.col("at") < self.wide))
+        members = self.scratch.put(rows.join(size, "bucket").select("bucket", "band", "cid", "component", "m", "own"), "members")
+        outside = members.where("component != own").groupBy("bucket").agg(F.ceil(F.count("*") / self.block).alias("parts"))
+        # a pair is compared in the first of the wide bands that both share, if in one of those
+        keys = F.slice("bands", 1, self.wide)
+        sets = self._with_sets(members.select("cid"))
+        classes = self.classes.select("cid", "n", "sketch", keys.alias("keys")).join(sets.select("cid", "low"), "cid")
+        members = members.join(outside, "bucket").join(self.scratch.put(classes.join(members.select("cid").distinct(), "cid"), "compared"), "cid")
+        chunks = F.ceil(F.col("m") / MEMBERS)
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        spread = lambda n: F.pmod(F.xxhash64("cid"), n)
+        facts = ["band", "cid", "component", "n", "sketch", "keys", "low"]
+        one = members.where("component != own").select("bucket", spread(F.col("parts")).alias("part"), F.explode(upto(chunks)).alias("chunk"), F.lit(0).alias("role"), *facts)
+        two = members.select("bucket", F.explode(upto(F.col("parts"))).alias("part"), F.pmod(F.xxhash64("cid", F.lit(1)), chunks).alias("chunk"), F.lit(1).alias("role"), *facts)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in _grouped(batches, 3):
-                _, lo, hi = group[0][:3]
-                own, cid, component, n = (np.array([r[i] for r in group]) for i in (3, 4, 5, 6))
-                sketch = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(len(group), -1)
-                one, two = (np.arange(len(group)),) * 2 if lo == hi else (np.nonzero(own == lo)[0], np.nonzero(own == hi)[0])
-                out = []
-                for i in one:
-                    js = two[two > i] if lo == hi else two
-                    js = js[(component[js] != component[i]) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)]
-                    share = (sketch[js] == sketch[i]).mean(axis=1)
-                    for j, s in zip(js[share >= least], share[share >= least]):
-                        out.append((min(cid[i], cid[j]), max(cid[i], cid[j]), s))
+                roles = [[r[4:] for r in group if r[3] == role] for role in (0, 1)]
+                if not all(roles):
+                    continue
+                (ids, comps, ns, sk, keys), (ids2, comps2, ns2, sk2, keys2) = (
+                    (*(np.array([r[i] for r in rs]) for i in (1, 2, 3)), np.frombuffer(b"".join(r[4] for r in rs), np.uint8).reshape(len(rs), -1), np.array([r[5] for r in rs])) for rs in roles
+                )
+                lows = [[np.frombuffer(r[6], np.uint32) for r in rs] for rs in roles]
+                before, out = min(roles[0][0][0], wide), []
+                for i in range(len(ids)):
+                    js = np.nonzero((comps2 != comps[i]) & (np.minimum(ns2, ns[i]) * den >= np.maximum(ns2, ns[i]) * num))[0]
+                    js = js[~(keys2[js, :before] == keys[i, :before]).any(axis=1)]
+                    share = (sk2[js] == sk[i]).mean(axis=1)
+                    js, share = js[share >= least], share[share >= least]
+                    one, linked = lows[0][i], set()
+                    for j in js[np.argsort(-share, kind="stable")].tolist():
+                        if comps2[j] in linked:
+                            continue
+                        other = lows[1][j]
+                        at = np.searchsorted(one, other)
+                        at[at == len(one)] = 0
+                        both = int((one[at] == other).sum())
+                        alike = both / (len(one) + len(other) - both)
+                        if alike >= goal - 0.01:  # halves of hashes may coincide: full sets decide
+                            out.append((min(ids[i], ids2[j]), max(ids[i], ids2[j]), alike))
+                        if alike >= goal + 0.005:
+                            linked.add(comps2[j])
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "share"])
 
-        placed = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        return placed.mapInArrow(compare, "a long, b long, share double").distinct()
+        keys = ["bucket", "part", "chunk"]
+        placed = one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys)
+        return placed.mapInArrow(compare, "a long, b long, share double")
 
     def run(self) -> "NearDuplicates":
-        buckets = self.classes.select("cid", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "cid")
-        centres, pairs = self._stars(buckets)
-        self._link(self._alike(pairs))
-        left = self._open(buckets, centres)
-        large = left.where(F.col("m") > self.block)
-        if not large.isEmpty():
-            split = large.join(self.classes.select("cid", "bands"), "cid").select("cid", "bucket", F.posexplode("bands").alias("band", "key"))
-            parts = self.scratch.put(split.select(F.xxhash64("bucket", "band", "key").alias("part"), "bucket", "cid").where("part is not null").select(F.col("part").alias("bucket"), F.col("bucket").alias("whole"), "cid"), "parts")
-            # a part as large as its whole is the whole again: its own band
-            grown = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.first("whole").alias("whole"))
-            wholes = large.groupBy("bucket").agg(F.count("*").alias("all")).withColumnRenamed("bucket", "whole")
-            own = self.scratch.put(grown.join(wholes, "whole").where("k < all").select("bucket"), "own")
-            parts = self.scratch.put(parts.join(own, "bucket").select("bucket", "cid"), "parts")
-            centres, pairs = self._stars(parts)
-            self._link(self._alike(pairs))
-            smaller = self._open(parts, centres)
-            left = left.where(F.col("m") <= self.block).unionByName(smaller)
-        if not left.isEmpty():
-            self._link(self._blocks(left))
+        first = self._banded(FIRST).select("bucket", "cid")
+        centres = self.scratch.put(first.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m"), "centres")
+        pairs = first.join(centres, "bucket").where("a != cid").select("a", F.col("cid").alias("b")).distinct()
+        self._link(self._alike(pairs).groupBy("b").agg(F.max_by("a", "share").alias("a")))
+        for turn in range(TURNS):
+            if not self._turn(turn):
+                return self
+        pairs = self._blocks()
+        if pairs is not None:
+            self._link(pairs)
         return self
 
     # results -----------------------------------------------------------------------------
