@@ -1,6 +1,6 @@
 """Scoring texts by a hidden Markov language model trained with Baum-Welch.
 
-The model's symbols are the most frequent training words, an end of text, and classes of all
+The model's symbols are the most frequent training words (all those with some count or more), an end of text, and classes of all
 other words. Given its class, a word outside the head has its share of the class's training
 counts, whatever the state. So the probability of a text is the exact one of its symbols, from
 the scaled forward recursion, times that of each rarer word in its class. The vocabulary may grow
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, table
 
@@ -203,7 +204,11 @@ class HmmModel:
         self.counts = scratch.put(word_counts(docs), "counts")
         n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.n, self.v = int(n), int(v)
-        words = self.counts.where(F.col("word") != F.lit(END)).orderBy(F.col("c").desc(), "word").limit(s.head).collect()  # bounded by s.head
+        # the least count that at most s.head words reach: the head is what the driver gets
+        tally = self.counts.where(F.col("word") != F.lit(END)).groupBy("c").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        least = tally.withColumn("upto", upto).where(F.col("upto") <= s.head).agg(F.min("c")).first()[0]
+        words = [] if least is None else sorted(self.counts.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).collect(), key=lambda r: (-r["c"], r["word"]))
         self.head_counts = np.array([0] + [r["c"] for r in words], np.int64)
         self.head_counts[0] = self.counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         self.symbols = Symbols([bytes(r["word"]) for r in words], s.classes)
