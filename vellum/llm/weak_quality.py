@@ -97,12 +97,15 @@ def toxic_votes(words: list[str], lang: str | None) -> list[int]:
 class Features(dict):
     """word -> its hashed features: the word, and its first 4, 5 and 6 letters."""
 
-    def __init__(self, bits: int):
-        self.mask = (1 << bits) - 1
+    def __init__(self, bits: int, live: np.ndarray | None = None):
+        """live: mask of the features that matter; the others are left out."""
+        self.mask, self.live = (1 << bits) - 1, live
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        parts = {word} | {f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k}
-        ids = tuple(sorted(xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & self.mask for p in parts))
+        parts = [word] + [f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k]
+        ids = tuple(xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & self.mask for p in parts)
+        if self.live is not None:
+            ids = tuple(i for i in ids if self.live[i])
         if len(self) < REMEMBERED:
             self[word] = ids
         return ids
@@ -180,7 +183,7 @@ class Linear:
                 continue
             mask = cls.telling([ids[i] for i in rows], labels[rows, h], size, s)
             own = {i: ids[i][mask[ids[i]]] for i in rows}
-            w, seen, b, b_seen = weights[h], np.full(size, 1e-8), 0.0, 1e-8
+            w, seen, b, b_seen = weights[h], np.full(size, 1e-8), -0.5, 1e-8
             for _ in range(s.epochs):
                 rng.shuffle(rows)
                 for at in range(0, len(rows), s.batch):
@@ -194,7 +197,7 @@ class Linear:
                     seen[used] += g * g
                     w[used] -= s.rate * g / np.sqrt(seen[used])
                     b_seen += off.sum() ** 2
-                    b -= s.rate * off.sum() / np.sqrt(b_seen)
+                    b = min(b - s.rate * off.sum() / np.sqrt(b_seen), -0.5)  # a text without any telling feature is kept
             bias[h] = b
         return cls(weights.astype(np.float32), bias)
 
@@ -272,7 +275,8 @@ class QualityModel:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            linear, features = Linear(*shared.value), Features(bits)
+            linear = Linear(*shared.value)
+            features = Features(bits, (linear.weights != 0).any(axis=0))
             for batch in batches:
                 p = np.zeros((batch.num_rows, 2))
                 for i, text in enumerate(batch["_text"]):
