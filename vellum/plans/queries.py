@@ -242,7 +242,7 @@ def layout_choice(spark, d):
 
 @query("SELECT event_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms FROM events")
 def epoch_ms(spark, d):
-    return load(spark, d, "events").select("event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ms"))
+    return load(spark, d, "events").select("event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000").alias("ms"))
 
 
 # formatting ------------------------------------------------------------------------------
