@@ -122,10 +122,18 @@ def token_pieces(docs: DataFrame, room: int, end_id: int, tokenizer: str | None
 def plan_patterns(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
     """counts[l]: pieces of length l. Returns (lengths that share a sequence, how many times).
 
-    From the longest length down, each takes single lengths, pairs and triples that fill its gap
-    exactly, as often as their counts allow. What is left is packed best fit, longest first, with
-    equal sequences handled together.
+    Exact fills are good as such, but they may use up the short pieces that others need. So they
+    are planned for the longest pieces only, down to several lengths, with up to one, two or three
+    lengths in a gap, and the plan with fewest sequences counts; the deepest of equals.
     """
+    plans = [(_plan(counts, room, depth, down), -depth) for depth in (3, 2, 1) for down in (1, room // 2, room * 3 // 4, room * 7 // 8, room)]
+    return min(plans, key=lambda p: (sum(times for _, times in p[0]), p[1]))[0]
+
+
+def _plan(counts: np.ndarray, room: int, depth: int, down: int) -> list[tuple[tuple[int, ...], int]]:
+    """From the longest length down to `down`, each takes single lengths, pairs and triples (up to
+    `depth` lengths) that fill its gap exactly, as often as their counts allow. What is left is
+    packed best fit, longest first, with equal sequences handled together."""
     left, patterns = counts.astype(np.int64).copy(), []
 
     def use(lengths: tuple[int, ...]) -> None:
@@ -147,13 +155,15 @@ def plan_patterns(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...],
 
     if left[room]:
         use((room,))
-    for length in range(room - 1, 0, -1):
+    for length in range(room - 1, down - 1, -1):
         gap, dry = room - length, False
         while left[length] and not dry:
             if gap <= length and enough((length, gap)):
                 use((length, gap))
-            elif two := pair(gap, length, (length,)):
+            elif depth > 1 and (two := pair(gap, length, (length,))):
                 use((length, *two))
+            elif depth < 3:
+                dry = True
             else:
                 dry = True
                 for x in np.nonzero(left[: min(length, gap - 2) + 1])[0][::-1]:
