@@ -6,6 +6,7 @@ shares. They cut lineage: a lost executor costs the running stage, not the whole
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Let the driver's JVM collect garbage: Spark deletes the shuffle files and broadcasts of
+        queries that nothing refers to any more only then, and a driver with free heap may not
+        come to that for long."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = t._scratch_path

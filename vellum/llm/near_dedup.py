@@ -44,7 +44,7 @@ CHUNK = 64
 SMALL = 250_000
 #: Bands of the first step.
 FIRST = 8
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _U64 = np.uint64
 
@@ -244,6 +244,7 @@ class NearDuplicates:
             return
         self.links = new if self.links is None else self.links.unionByName(new)
         self.found = connected_components(self.links, self.scratch)
+        self.scratch.tidy()
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         """rows (cid, ...) with the component that each class is in so far."""

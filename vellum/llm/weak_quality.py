@@ -33,7 +33,7 @@ INSULTS = frozenset(
 )
 _SYMBOLS = "#$%&*|<>{}[]=+~^_\\@!"
 _WORD = re.compile(r"[^\W_]+")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -248,7 +248,8 @@ class QualityModel:
         ddl = "doc_id long, quality_votes array<int>, toxic_votes array<int>, features array<int>"
         return _texts(docs).mapInArrow(vote, ddl)
 
-    def _train(self, rows: DataFrame) -> Linear:
+    def _train(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the features that have a weight, their weights, and the biases."""
         s, posteriors = self.settings, self.posteriors
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,21 +262,25 @@ class QualityModel:
                         ids.append(np.asarray(f.values))
                         labels.append(sure)
             m = Linear.train(ids, np.array(labels).reshape(-1, 2), s)
-            yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias.tobytes()], pa.binary())], names=["weights", "bias"])
+            used = np.nonzero(m.weights.any(axis=0))[0].astype(np.int32)
+            columns = [used.tobytes(), m.weights[:, used].tobytes(), m.bias.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["used", "weights", "bias"])
 
         sample = rows.where("features is not null").select("q", "t", "features").coalesce(1)
-        got = sample.mapInArrow(train, "weights binary, bias binary").collect()  # one model
+        got = sample.mapInArrow(train, "used binary, weights binary, bias binary").collect()  # one model, its features with a weight
         if not got:
-            return Linear(np.zeros((2, 1 << s.bits), np.float32), np.full(2, -20.0))
-        return Linear(np.frombuffer(got[0]["weights"], np.float32).reshape(2, -1), np.frombuffer(got[0]["bias"]))
+            return np.empty(0, np.int32), np.empty((2, 0), np.float32), np.full(2, -20.0)
+        used = np.frombuffer(got[0]["used"], np.int32)
+        return used, np.frombuffer(got[0]["weights"], np.float32).reshape(2, len(used)), np.frombuffer(got[0]["bias"])
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """All columns of docs, with p_low and p_toxic, the scorer's probabilities."""
-        shared, bits = self.spark.sparkContext.broadcast((self.linear.weights, self.linear.bias)), self.settings.bits
+        (used, weights, bias), bits = self.linear, self.settings.bits
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            linear = Linear(*shared.value)
+            linear = Linear(np.zeros((2, 1 << bits), np.float32), bias)
+            linear.weights[:, used] = weights
             features = Features(bits, (linear.weights != 0).any(axis=0))
             for batch in batches:
                 p = np.zeros((batch.num_rows, 2))
