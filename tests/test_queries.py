@@ -84,3 +84,12 @@ def test_files_are_pruned(spark, tmp_path):
     (tmp_path / "a.note").write_bytes(bytes(10))
     plan = read_containers(spark, str(tmp_path), most_bytes=5).select("path")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,5)" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_hex_dump_is_whole(spark):
+    """All bytes of all pages come back from the rows."""
+    rows = {}
+    for r in Q.QUERIES["hex_dump_whole"](spark, SF).collect():
+        rows.setdefault(r.page_id, {})[r.row] = bytes.fromhex(r.text[10:57])
+    pages = {r.page_id: r.html.encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html}
+    assert {i: b"".join(x[n] for n in sorted(x)) for i, x in rows.items()} == pages and max(map(len, pages.values())) > 64

@@ -101,6 +101,17 @@ def hex_dump(spark, d):
     return part.where("length(t) > 0").select("page_id", F.posexplode(rows).alias("row", "bytes"))
 
 
+@query("""SELECT page_id, CAST(i AS INTEGER) AS row,
+  printf('%08x', 16 * i) || '  ' || rpad(rtrim(regexp_replace(substr(h, CAST(32 * i + 1 AS INTEGER), 32), '(..)', '\\1 ', 'g')), 47, ' ') || '  ' || substr(t, CAST(16 * i + 1 AS INTEGER), 16) AS text
+  FROM (SELECT page_id, h, unnest(range(0, CAST(ceil(length(h) / 32.0) AS BIGINT))) AS i,
+    replace(regexp_replace(replace(replace(b, '\\x22', chr(34)), '\\x27', chr(39)), '\\\\x([0-46-9A-F].|5[0-9ABD-F])', '.', 'g'), '\\x5C', '\\') AS t
+    FROM (SELECT page_id, lower(hex(encode(html))) AS h, CAST(encode(html) AS VARCHAR) AS b FROM pages) p) r""")
+def hex_dump_whole(spark, d):
+    """Every row of every page's bytes, by the operator; its limit stays an option."""
+    data = load(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("name"), F.encode("html", "UTF-8").alias("data"))
+    return notes.hex_rows(data).select(F.col("path").cast("bigint").alias("page_id"), "row", "text")
+
+
 @query("""SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'html' WHEN starts_with(html, '%PDF') THEN 'pdf' ELSE 'other' END AS kind,
   upper(hex(encode(substr(regexp_replace(html, '[^\\x20-\\x7e]', '', 'g'), 1, 4)))) AS magic FROM pages""")
 def magic_sniff(spark, d):
