@@ -93,3 +93,20 @@ def test_hex_dump_is_whole(spark):
         rows.setdefault(r.page_id, {})[r.row] = bytes.fromhex(r.text[10:57])
     pages = {r.page_id: r.html.encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html}
     assert {i: b"".join(x[n] for n in sorted(x)) for i, x in rows.items()} == pages and max(map(len, pages.values())) > 64
+
+
+def test_rotation_of_every_stroke(spark):
+    """Against a loop over each stroke's points."""
+    strokes = {}
+    for r in Q.ink(spark, SF).orderBy("user_id", "stroke", "i").collect():
+        x, y = strokes.setdefault((r.user_id, r.stroke), [(0, 0)])[-1]
+        strokes[r.user_id, r.stroke].append((x + r.dx, y + r.k - 50))
+    want = {}
+    for key, points in strokes.items():
+        for i, ((x, y), (x1, y1)) in enumerate(zip(points[1:], points[2:]), 1):
+            turn = math.degrees(math.atan2(y1 - y, x1 - x))
+            if math.hypot(x1 - x, y1 - y) > 40 and 5 < abs(turn) < 85:
+                want[key] = (i, round(turn, 6))
+                break
+    got = {(r.user_id, r.stroke): (r.i, r.degrees) for r in Q.QUERIES["rotation_degrees_whole"](spark, SF).collect()}
+    assert got == want and any(stroke > 0 for _, stroke in got)

@@ -222,6 +222,19 @@ def rotation_degrees(spark, d):
     return got.where("degrees IS NOT NULL")
 
 
+@query(f"""WITH {INK}, p AS (SELECT user_id, stroke, i, CAST(sum(dx) {RUN} AS BIGINT) AS x, CAST(sum(k - 50) {RUN} AS BIGINT) AS y FROM ink),
+  q AS (SELECT user_id, stroke, i, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY user_id, stroke ORDER BY i)),
+  m AS (SELECT user_id, stroke, i, degrees(atan2(dy, dx)) AS turn FROM q WHERE sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) > 40)
+SELECT user_id, stroke, min(i) AS i, round(arg_min(turn, i), 6) AS degrees FROM m WHERE abs(turn) > 5 AND abs(turn) < 85 GROUP BY user_id, stroke""")
+def rotation_degrees_whole(spark, d):
+    """The turn of every stroke: the first pair of successive points that shows one."""
+    order = Window.partitionBy(*STROKE).orderBy("i")
+    p = ink(spark, d).select(*STROKE, "i", C.running(F.col("dx"), STROKE, PLACE).alias("x"), C.running(F.col("k") - 50, STROKE, PLACE).alias("y"))
+    step = lambda c: (F.col(c) - F.lag(c).over(order)).cast("double")
+    turns = p.select(*STROKE, "i", C.rotation_degrees(step("x"), step("y")).alias("turn")).where("turn IS NOT NULL")
+    return turns.groupBy(*STROKE).agg(F.min("i").alias("i"), F.round(F.min_by("turn", "i"), 6).alias("degrees"))
+
+
 @query(f"""WITH {INK} SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY stroke, i) - 1 AS INTEGER) AS media_index FROM ink WHERE event_type = 'view'""")
 def image_index(spark, d):
     order = Window.partitionBy("user_id").orderBy("stroke", "i")
