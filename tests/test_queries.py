@@ -110,3 +110,11 @@ def test_rotation_of_every_stroke(spark):
                 break
     got = {(r.user_id, r.stroke): (r.i, r.degrees) for r in Q.QUERIES["rotation_degrees_whole"](spark, SF).collect()}
     assert got == want and any(stroke > 0 for _, stroke in got)
+
+
+def test_every_id_is_matched(spark):
+    documents = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = {r.doc_id: r.matches for r in Q.QUERIES["id_match_whole"](spark, SF).collect()}
+    assert got == {i: i in documents and i in labels for i in documents | labels}
+    assert any(m for i, m in got.items() if i % 2) and not all(got.values())

@@ -457,6 +457,15 @@ def id_match(spark, d):
     return labels.join(even, labels.doc_id == F.col("entry"), "left").select("doc_id", "quality", F.col("entry").isNotNull().alias("matches"))
 
 
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, l.quality, d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AS matches FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+def id_match_whole(spark, d):
+    """All entries and all registry ids: which of them have a counterpart."""
+    documents = load(spark, d, "documents").select(F.col("doc_id").alias("entry"))
+    labels = load(spark, d, "labels").select(F.col("doc_id").alias("label"), "quality")
+    both = documents.join(labels, F.col("entry") == F.col("label"), "full")
+    return both.select(F.coalesce("entry", "label").alias("doc_id"), "quality", (F.col("entry").isNotNull() & F.col("label").isNotNull()).alias("matches"))
+
+
 # whole containers ------------------------------------------------------------------------
 
 #: Strokes in one encoded note, which bounds what meets in one row.
