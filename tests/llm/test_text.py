@@ -87,6 +87,16 @@ def test_large_hosts_are_split(spark):
     assert all(r.text == f"n{r.page_id}" for r in got) and len(got) == 300
 
 
+def test_runs_are_found_across_groups(spark):
+    """Runs that two or three of a host's 200 pages have, in groups of about 4 pages."""
+    words = lambda name: " ".join(f"{name}x{j}" for j in range(15))
+    html = lambda i: f"<p>{words(f'own{i}')}</p>" + f"<p>{words(f'three{i % 60}')}</p>" * (i < 180) + f"<p>{words(f'two{i % 100}')}</p>"
+    df = spark.createDataFrame([(i, "http://h/", html(i)) for i in range(200)], "page_id long, url string, html string")
+    small, whole = ({r.page_id: (r.text, r.repeated_tokens) for r in html_text.extract_text(df, Scratch(spark, "t"), 12, pages_at_once=n).collect()} for n in (4, 1000))
+    assert small == whole
+    assert all(small[i][1] == (30 if i < 180 else 15) for i in range(200))
+
+
 # WARC ------------------------------------------------------------------------------------
 
 PAGES = [(3, "http://a", "same"), (1, "http://b", "same"), (None, None, None), (5, "u\r\n%0Ax", ""), (5, "u", ""), (7, "c", "grün \r\n\r\n x"), (8, "d", "WARC/1.1\r\n\r\n" * 50), (3, "http://a", "same")]

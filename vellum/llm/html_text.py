@@ -2,10 +2,11 @@
 
 A page becomes blocks of text, each in a zone: chrome (menus, headers, footers, adverts, forms,
 comments ...), content (inside the element that holds the article), or plain. The token streams
-of a host's pages are concatenated and their suffixes sorted; runs of at least `run` tokens that
-start suffixes of two different pages are boilerplate, unless they are the article's own: what the
-page marks as its article may well be quoted or repeated elsewhere, and stays. Plain blocks lose
-their repeated runs and keep the rest; they count only in pages that don't mark an article.
+of a host's pages are concatenated and their suffixes sorted. Runs of at least `run` tokens that
+start suffixes of two pages are repeated, and boilerplate if enough different pages have them:
+copies of a page count once, and a passage that two articles quote stays. What the page marks as
+its article may well be repeated elsewhere, and stays. Plain blocks lose their boilerplate and keep
+the rest; they count only in pages that don't mark an article.
 """
 
 from __future__ import annotations
@@ -16,14 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, text_or_empty
+from .near_dedup import _grouped, _mix
 
 PLAIN, CONTENT = 0, 1
 #: Rows of a host's name and a number that may be broadcast; more are joined by a shuffle.
 SMALL = 250_000
+#: A run is cut if so many different pages of its host have it.
+LEAST = 2
+#: Of a hash by which groups of one host tell their windows apart.
+BITS = 56
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # with a quote that never ends
@@ -130,17 +137,17 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
-    """Mask of the tokens inside runs of `run` tokens that two different pages have.
+def windows(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where `run` tokens of one page start, and for each the number of its class: equal
+    windows are one class.
 
     tokens: numbers of the words of all pages, one stream after the other; page: its number for
     each. The suffixes are sorted by prefix doubling, to the depth that `run` needs; a suffix is
-    cut at its page's end. Suffixes of one rank that stand next to each other in that order share
-    their first `run` tokens.
+    cut at its page's end. Suffixes of one rank share their first `run` tokens.
     """
     n = len(tokens)
     if n < run:
-        return np.zeros(n, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     ends = np.searchsorted(page, page, "right")
     _, rank = np.unique(tokens, return_inverse=True)
     length = 1
@@ -151,46 +158,181 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
         after[np.arange(n) + step >= ends] = 0
         _, rank = np.unique(rank.astype(np.int64) * (n + 1) + after, return_inverse=True)
         length += step
-    order = np.argsort(rank, kind="stable")  # the suffix array; ties in stream order
-    whole = np.arange(n) + run <= ends
-    starts = np.nonzero(np.diff(rank[order], prepend=-1))[0]
-    least, most = np.minimum.reduceat(page[order], starts), np.maximum.reduceat(page[order], starts)
-    shared = np.zeros(n, bool)
-    shared[order] = np.repeat(least != most, np.diff(np.append(starts, n)))
+    at = np.nonzero(np.arange(n) + run <= ends)[0]
+    return at, np.unique(rank[at], return_inverse=True)[1].astype(np.int64)
+
+
+def on_pages(of: np.ndarray, page: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of windows, the pages that have it: without their copies, and with them."""
+    pairs = np.unique(of * len(copies) + page)
+    return np.bincount(pairs // len(copies)), np.bincount(pairs // len(copies), copies[pairs % len(copies)]).astype(np.int64)
+
+
+def covered(n: int, hits: np.ndarray, run: int) -> np.ndarray:
+    """Mask of the n tokens inside the windows that start at hits."""
     change = np.zeros(n + 1, np.int64)
-    hits = np.nonzero(shared & whole)[0]
     np.add.at(change, hits, 1)
     np.add.at(change, hits + run, -1)
     return np.cumsum(change[:-1]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
+    """Mask of the tokens inside runs of `run` tokens that two different pages have."""
+    at, of = windows(tokens, page, run)
+    if not len(at):
+        return np.zeros(len(tokens), bool)
+    pages, _ = on_pages(of, page[at], np.ones(page[-1] + 1, np.int64))
+    return covered(len(tokens), at[pages[of] > 1], run)
+
+
+def needed(pages: int) -> int:
+    """Different pages of a host of so many that must have a run before it is cut."""
+    return LEAST
+
+
+class Group:
+    """Different pages of one host: zones and texts of the blocks of each, and how many copies it has."""
+
+    def __init__(self, pages: list[tuple[list[int], list[str]]], copies: list[int], run: int):
+        self.pages, self.run = pages, run
+        self.words = [[t.split() for t in texts] for _, texts in pages]
+        self.numbers: dict[str, int] = {}
+        flat = [self.numbers.setdefault(w, len(self.numbers)) for page in self.words for block in page for w in block]
+        self.flat = np.array(flat, np.int64)
+        page = np.repeat(np.arange(len(pages)), [sum(map(len, p)) for p in self.words])
+        self.at, self.of = windows(self.flat, page, run)
+        self.contents, self.rows = on_pages(self.of, page[self.at], np.array(copies, np.int64)) if len(self.at) else (self.of, self.of)
+
+    def keys(self) -> np.ndarray:
+        """A hash of BITS bits of each class of windows, the same in all groups."""
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.numbers), np.uint64, len(self.numbers))
+        first = self.at[np.unique(self.of, return_index=True)[1]]
+        factors = _mix(np.arange(1, self.run + 1, dtype=np.uint64)) | np.uint64(1)
+        total = np.zeros(len(first), np.uint64)
+        for i in range(self.run):
+            total += hashes[self.flat[first + i]] * factors[i]
+        return _mix(total) >> np.uint64(64 - BITS)
+
+    def texts(self, need: int, shared: np.ndarray | None = None, boilerplate: np.ndarray | None = None) -> list[tuple[str, int]]:
+        """Text, and number of repeated tokens, of each page. shared, boilerplate: sorted keys of
+        the windows that pages of other groups have too, and which of them enough pages have."""
+        again, cut = self.rows > 1, self.contents >= need
+        if shared is not None and len(shared) and len(self.at):
+            keys = self.keys()
+            place = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+            met = shared[place] == keys
+            again, cut = again | met, np.where(met, boilerplate[place], cut)
+        report, remove = (covered(len(self.flat), self.at[mask[self.of]], self.run) for mask in (again, cut))
+        out, at = [], 0
+        for (zones, texts), blocks in zip(self.pages, self.words):
+            marked, lines, first = CONTENT in zones, [], at
+            for zone, text, block in zip(zones, texts, blocks):
+                mask = remove[at : at + len(block)]
+                at += len(block)
+                if zone == CONTENT or not marked and not mask.any():
+                    lines.append(text)
+                elif not marked and not mask.all():
+                    lines.append(" ".join(w for w, m in zip(block, mask) if not m))
+            out.append(("\n".join(lines), int(report[first:at].sum())))
+        return out
+
+
 def main_texts(pages: list[tuple[list[int], list[str]]], run: int) -> list[tuple[str, int]]:
-    """pages: zones and texts of the blocks of each. Text, and number of repeated tokens."""
-    words = [[t.split() for t in texts] for _, texts in pages]
-    numbers: dict[str, int] = {}
-    flat = [numbers.setdefault(w, len(numbers)) for page in words for block in page for w in block]
-    page = np.repeat(np.arange(len(pages)), [sum(map(len, p)) for p in words])
-    covered = repeated(np.array(flat, np.int64), page, run)
-    out, at = [], 0
-    for (zones, texts), blocks in zip(pages, words):
-        marked, lines, first = CONTENT in zones, [], at
-        for zone, text, block in zip(zones, texts, blocks):
-            mask = covered[at : at + len(block)]
-            at += len(block)
-            if zone == CONTENT or not marked and not mask.any():
-                lines.append(text)
-            elif not marked and not mask.all():
-                lines.append(" ".join(w for w, m in zip(block, mask) if not m))
-        out.append(("\n".join(lines), int(covered[first:at].sum())))
-    return out
+    """pages: zones and texts of the blocks of each different page of a host."""
+    return Group(pages, [1] * len(pages), run).texts(needed(len(pages)))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[tuple[list[int], list[str]]], list[int], list[tuple]]]:
+    """For each (host, group): the rows from other groups (role 0), the different pages, the page
+    that each row is, and the rows without their blocks. Copies lie next to each other."""
+    told: list[tuple] = []
+    pages: list[tuple[list[int], list[str]]] = []
+    which: list[int] = []
+    rows: list[tuple] = []
+    same: list[int] = []
+    now = digest = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:2] != now:
+                if now is not None:
+                    yield told, pages, which, rows
+                told, pages, which, rows, same, now, digest = [], [], [], [], [], row[:2], None
+            if row[2] == 0:
+                told.append(row)
+                continue
+            if row[3] != digest:
+                digest, same = row[3], []
+            page = (row[6], row[7])
+            found = next((i for i in same if pages[i] == page), None)
+            if found is None:
+                found = len(pages)
+                pages.append(page)
+                same.append(found)
+            which.append(found)
+            rows.append(row[:6] + row[8:])
+    if now is not None:
+        yield told, pages, which, rows
+
+
+def _across(met: DataFrame, run: int) -> DataFrame:
+    """host, group, n, keys, boilerplate, need: for each group of a large host, the windows that it
+    shares with other groups. Each group hands on its different windows with the number of its
+    pages that have them, in buckets by hash; copies are in one group, so the numbers add up."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pages, which, rows in _groups(batches):
+            group, (host, number, buckets) = Group(pages, np.bincount(which).tolist(), run), (rows[0][0], rows[0][1], rows[0][6])
+            keys = group.keys() if len(group.at) else np.empty(0, np.uint64)
+            order = np.argsort(keys)
+            bucket = (keys // np.uint64((1 << BITS) // buckets + 1))[order]
+            out = []
+            for b in range(buckets):
+                some = order[bucket == b]
+                counts = np.stack([group.contents[some], group.rows[some]]).astype(np.int32)
+                out.append((host, b, number, len(pages), len(some), _packed(keys[some]), pa.compress(counts.tobytes(), codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_pylist([dict(zip(told.names, o)) for o in out], schema=told)
+
+    told = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("group", pa.int64()), ("pages", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    back = pa.schema([("host", pa.string()), ("group", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("boilerplate", pa.binary()), ("need", pa.int64())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 2):
+            need, sizes = needed(sum(r[3] for r in rows)), np.array([r[4] for r in rows])
+            every = np.concatenate([_unpacked(r[5], r[4]) for r in rows])
+            contents = np.concatenate([np.frombuffer(pa.decompress(r[6], 8 * r[4], codec="zstd", asbytes=True), np.int32)[: r[4]] for r in rows])
+            _, of, times = np.unique(every, return_inverse=True, return_counts=True)
+            shared, enough = times[of] > 1, np.bincount(of, contents, len(times))[of] >= need
+            ends = np.cumsum(sizes)
+            for r, lo, hi in zip(rows, ends - sizes, ends):
+                mask = shared[lo:hi]
+                if mask.any() or r[1] == 0:
+                    some = every[lo:hi][mask]
+                    one = (r[0], r[2], len(some), _packed(some), enough[lo:hi][mask].tobytes(), need)
+                    yield pa.RecordBatch.from_pylist([dict(zip(back.names, one))], schema=back)
+
+    parts = met.mapInArrow(tell, "host string, bucket int, group long, pages int, n int, keys binary, counts binary")
+    parts = parts.repartition("host", "bucket").sortWithinPartitions("host", "bucket")
+    return parts.mapInArrow(meet, "host string, group long, n int, keys binary, boilerplate binary, need long")
 
 
 def extract_text(pages: DataFrame, scratch: Scratch, run: int = 12, pages_at_once: int = 256) -> DataFrame:
     """pages: page_id, url, html. Returns page_id, url, text, n_chars, repeated_tokens.
 
-    The pages of a host meet in groups of about `pages_at_once`, drawn by row number, so a large
-    host is many groups; a run is found where two pages of one group have it. A null url is a
-    host of its own; null html and pages without text give an empty text. Rows are never merged.
+    The pages of a host meet in groups of about `pages_at_once`, by a hash of their blocks, so
+    copies share a group and a large host is many groups; these then tell each other which windows
+    they share. A null url is a host of its own; null html and pages without text give an empty
+    text. Rows are never merged.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,37 +340,41 @@ def extract_text(pages: DataFrame, scratch: Scratch, run: int = 12, pages_at_onc
             found = [page_blocks(p.as_py()) for p in batch["html"]]
             zones = pa.array([[z for z, _ in f] for f in found], pa.list_(pa.int32()))
             texts = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], zones, texts], names=["page_id", "url", "host", "zones", "texts"])
+            digests = np.array([xxhash.xxh3_64_intdigest("\n".join(f"{z}{t}" for z, t in f).encode("utf-8", "surrogatepass")) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], zones, texts, pa.array(digests)], names=["page_id", "url", "host", "zones", "texts", "digest"])
 
     host = F.lower(F.regexp_extract(text_or_empty("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     blocks = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html")
-    blocks = blocks.mapInArrow(parse, "page_id long, url string, host string, zones array<int>, texts array<string>")
-    blocks = blocks.withColumn("row", F.monotonically_increasing_id())
+    blocks = blocks.mapInArrow(parse, "page_id long, url string, host string, zones array<int>, texts array<string>, digest long")
     large = pages.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / pages_at_once).alias("groups")).where("groups > 1")
     large = scratch.put(large, "hosts")
-    large = F.broadcast(large) if large.count() <= SMALL else large.hint("merge")
-    grouped = blocks.join(large, "host", "left").withColumn("group", F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1))))
+    count = large.count()
+    known = F.broadcast(large) if count <= SMALL else large.hint("merge")
+    group = F.pmod(F.xxhash64("digest"), F.coalesce("groups", F.lit(1))).alias("group")
+    buckets = F.ceil(4 * F.sqrt("groups")).cast("int").alias("buckets")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = blocks.join(known, "host", "left").select("host", group, F.lit(1).alias("role"), "digest", "page_id", "url", "zones", "texts", buckets, none("int").alias("n"), none("binary").alias("keys"), none("binary").alias("boilerplate"), none("long").alias("need"))
+    dealt = lambda df: df.repartition("host", "group").sortWithinPartitions("host", "group", "role", "digest")
+    if count:
+        shared = scratch.put(_across(dealt(rows.where("buckets is not null")), run), "shared")
+        scratch.tidy()
+        heads = shared.select("host", "group", F.lit(0).alias("role"), none("long").alias("digest"), none("long").alias("page_id"), none("string").alias("url"), none("array<int>").alias("zones"), none("array<string>").alias("texts"), none("int").alias("buckets"), "n", "keys", "boilerplate", "need")
+        rows = rows.unionByName(heads)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            texts = main_texts([(r[4], r[5]) for r in held], run)
-            columns = [[r[2] for r in held], [r[3] for r in held], [t for t, _ in texts], [len(t) for t, _ in texts], [n for _, n in texts]]
-            held.clear()
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "url", "text", "n_chars", "repeated_tokens"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:2] != row[:2]:
-                    yield done()
-                held.append(row)
-        if held:
-            yield done()
-
-    met = grouped.repartition("host", "group").sortWithinPartitions("host", "group", "row").select("host", "group", "page_id", "url", "zones", "texts")
-    return met.mapInArrow(clean, "page_id long, url string, text string, n_chars long, repeated_tokens long")
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        for told, found, which, held in _groups(batches):
+            group, need, keys, enough = Group(found, np.bincount(which, minlength=len(found)).tolist(), run), needed(len(found)), None, None
+            if told:
+                need, keys = told[0][12], np.concatenate([_unpacked(r[10], r[9]) for r in told])
+                order = np.argsort(keys)
+                keys, enough = keys[order], np.concatenate([np.frombuffer(r[11], bool) for r in told])[order]
+            texts = group.texts(need, keys, enough)
+            for at in range(0, len(held), pages_at_once):
+                part = [(r[4], r[5], texts[i][0], len(texts[i][0]), texts[i][1]) for r, i in zip(held[at : at + pages_at_once], which[at : at + pages_at_once])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=["page_id", "url", "text", "n_chars", "repeated_tokens"])
+
+    return dealt(rows).mapInArrow(clean, "page_id long, url string, text string, n_chars long, repeated_tokens long")
 
 
 def op1_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
