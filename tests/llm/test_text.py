@@ -94,7 +94,20 @@ def test_runs_are_found_across_groups(spark):
     df = spark.createDataFrame([(i, "http://h/", html(i)) for i in range(200)], "page_id long, url string, html string")
     small, whole = ({r.page_id: (r.text, r.repeated_tokens) for r in html_text.extract_text(df, Scratch(spark, "t"), 12, pages_at_once=n).collect()} for n in (4, 1000))
     assert small == whole
-    assert all(small[i][1] == (30 if i < 180 else 15) for i in range(200))
+    assert all(small[i] == (f"{words(f'own{i}')}\n{words(f'two{i % 100}')}", 30 if i < 180 else 15) for i in range(200))
+
+
+def test_copies_and_quotes_stay(spark):
+    """Copies of an unmarked page, and a passage that two pages quote, are no boilerplate."""
+    quote, menu = " ".join(f"q{i}" for i in range(20)), " ".join(f"m{i}" for i in range(20))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(15))
+    rows = [(i, "http://h/", f"<p>{menu}</p><p>{own(0)}</p>") for i in range(5)]
+    rows += [(i, "http://h/", f"<p>{menu}</p><p>{own(i)}</p>" + f"<p>{quote}</p>" * (i < 7)) for i in range(5, 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for at_once in (256, 2):
+        got = {r.page_id: r for r in html_text.extract_text(df, Scratch(spark, "t"), 12, pages_at_once=at_once).collect()}
+        assert [got[i].text for i in range(9)] == [own(0)] * 5 + [f"{own(i)}\n{quote}" for i in (5, 6)] + [own(7), own(8)]
+        assert [got[i].repeated_tokens for i in range(9)] == [35] * 5 + [40, 40, 20, 20]
 
 
 # WARC ------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ the rest; they count only in pages that don't mark an article.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from .near_dedup import _grouped, _mix
 PLAIN, CONTENT = 0, 1
 #: Rows of a host's name and a number that may be broadcast; more are joined by a shuffle.
 SMALL = 250_000
-#: A run is cut if so many different pages of its host have it.
-LEAST = 2
+#: A run is cut if so many different pages of its host have it, and this share of them.
+LEAST, SHARE = 3, 0.01
 #: Of a hash by which groups of one host tell their windows apart.
 BITS = 56
 
@@ -187,7 +188,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
 
 def needed(pages: int) -> int:
     """Different pages of a host of so many that must have a run before it is cut."""
-    return LEAST
+    return max(LEAST, math.ceil(SHARE * pages))
 
 
 class Group:
