@@ -219,6 +219,20 @@ def test_scores(spark):
     assert HmmModel(df.limit(0), Scratch(spark, "t"), settings).scores().count() == 0
 
 
+def test_states_come_from_all_documents(spark):
+    """The model is that of a loop over all training documents, whatever `sample` says."""
+    rows = language(2, 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = HmmModel(df, Scratch(spark, "t"), Settings(states=3, head=40, classes=3, sample=5, sample_passes=4, passes=2))
+    coded = [model.symbols.of(tokens(x))[0] for i, x in rows if not held_out(i)]
+    lengths = np.array([len(c) for c in coded], np.int64)
+    want = Hmm.fresh(3, model.unigrams, Settings().seed)
+    for _ in model.likelihoods:
+        want = Hmm.from_counts(*want.expected(np.concatenate(coded), np.cumsum(lengths) - lengths, lengths), model.unigrams)
+    assert np.allclose(model.model.emit, want.emit, rtol=1e-6) and np.allclose(model.model.move, want.move, rtol=1e-6)
+    assert 2 <= len(model.likelihoods) <= 6 and all(b > a for a, b in zip(model.likelihoods, model.likelihoods[1:]))
+
+
 # packing ---------------------------------------------------------------------------------
 
 

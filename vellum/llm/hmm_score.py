@@ -6,13 +6,12 @@ counts, whatever the state. So the probability of a text is the exact one of its
 the scaled forward recursion, times that of each rarer word in its class. The vocabulary may grow
 without bound: the head is bounded, and rarer words meet their counts in a join.
 
-Training: a few passes over a bounded sample place the states; the passes that then set the
-parameters sum the expected counts of every training document.
+Training: each pass sums the expected counts of every training document, until the likelihood of
+all of them hardly grows any more.
 """
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,9 +37,10 @@ class Settings:
     states: int = 12
     head: int = 50_000
     classes: int = 64
-    sample: int = 3_000  # training documents that place the states
-    sample_passes: int = 12
-    passes: int = 2  # over all training documents
+    sample: int = 3_000  # not used any more: every pass sees all training documents
+    sample_passes: int = 12  # place the states
+    passes: int = 2  # set the parameters; both kinds are over all training documents
+    gain: float = 1e-3  # training stops when a pass adds less to the log likelihood of a token
     piece: int = 2_048  # training cuts longer texts, which bounds its memory; scoring does not
     batch_tokens: int = 300_000
     seed: int = 11
@@ -102,7 +102,7 @@ class Hmm:
     """start (K), move (K, K), emit (symbols, K)."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit
+        self.start, self.move, self.emit, self.seen = start, move, emit, 0.0
 
     @classmethod
     def fresh(cls, states: int, unigrams: np.ndarray, seed: int) -> "Hmm":
@@ -137,7 +137,8 @@ class Hmm:
         return out
 
     def expected(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions over the sequences."""
+        """Expected counts of starts, moves and emissions over the sequences. Their log likelihood
+        is added to `seen`."""
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
@@ -150,6 +151,7 @@ class Hmm:
             a = (self.start if not t else alpha[ends[t - 1] - live[t - 1] : ends[t - 1] - live[t - 1] + n] @ self.move) * e[lo:hi]
             scales[lo:hi] = a.sum(axis=1)
             alpha[lo:hi] = a / scales[lo:hi, None]
+        self.seen += float(np.log(scales).sum())
         move = np.zeros_like(self.move)
         beta = np.ones((0, len(self.start)))
         back = self.move.T.copy()
@@ -253,8 +255,8 @@ class HmmModel:
         coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ddl)
         return coded.withColumn("row", F.monotonically_increasing_id())
 
-    def _expected(self, rows: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts over rows: each task sums its own, and sums meet by slices of the
+    def _expected(self, rows: DataFrame, model: Hmm) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+        """Expected counts over rows, and their log likelihood: each task sums its own, and sums meet by slices of the
         symbols, so that what the driver gets is one model's worth."""
         shared, states, size = self.spark.sparkContext.broadcast((model.start, model.move, model.emit)), self.settings.states, self.symbols.size
         piece, most = self.settings.piece, self.settings.batch_tokens
@@ -268,18 +270,18 @@ class HmmModel:
                     got = m.expected(flat, *part)
                     total = got if total is None else tuple(x + y for x, y in zip(total, got))
             if total is not None:
-                rows = np.vstack([total[2], total[0][None, :], total[1]])
+                rows = np.vstack([total[2], total[0][None, :], total[1], np.full((1, states), m.seen)])
                 used = np.nonzero(rows.any(axis=1))[0]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, states * len(used) + 1, states), pa.int32()), pa.array(rows[used].ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), lists], schema=schema)
 
         each = rows.select("symbols").mapInArrow(expect, "symbol int, counts array<double>")
         summed = each.groupBy("symbol").agg(*[F.sum(F.col("counts")[i]).alias(f"k{i}") for i in range(states)])
-        total = np.zeros((size + 1 + states, states))
-        got = summed.toArrow()  # (symbols + states + 1) rows at most
+        total = np.zeros((size + 2 + states, states))
+        got = summed.toArrow()  # (symbols + states + 2) rows at most
         total[got["symbol"].to_numpy()] = np.column_stack([got[f"k{i}"].to_numpy() for i in range(states)])
         shared.unpersist()
-        return total[size], total[size + 1 :], total[:size]
+        return (total[size], total[size + 1 : -1], total[:size]), float(total[-1, 0])
 
     def _train(self) -> Hmm:
         s = self.settings
@@ -287,35 +289,13 @@ class HmmModel:
         training = self.documents.where("not held_out")
         if not self.n:
             return model
-        share = min(1.0, s.sample / max(1, int(self.head_counts[0])))
-        some = training.where(F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("symbols")
-        unigrams, passes, piece, most = self.unigrams, s.sample_passes, s.piece, s.batch_tokens
-        states, seed = s.states, s.seed
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flats, lengths = [], []
-            for batch in batches:
-                f, st, n = _sequences(batch)
-                flats.append(f[st[0] : st[-1] + n[-1]] if len(n) else f[:0])
-                lengths.append(n)
-            if not lengths:
-                return
-            flat, n = np.concatenate(flats), np.concatenate(lengths)
-            starts = np.cumsum(n) - n
-            m = Hmm.fresh(states, unigrams, seed)
-            for _ in range(passes):
-                total = None
-                for part in _pieces(starts, n, piece, most):
-                    got = m.expected(flat, *part)
-                    total = got if total is None else tuple(x + y for x, y in zip(total, got))
-                m = Hmm.from_counts(*total, unigrams)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.start, m.move, m.emit))], pa.binary())], names=["model"])
-
-        placed = some.coalesce(1).mapInArrow(place, "model binary").collect()
-        if placed:
-            model = Hmm(*pickle.loads(placed[0]["model"]))
-        for _ in range(s.passes):
-            model = Hmm.from_counts(*self._expected(training, model), self.unigrams)
+        self.likelihoods: list[float] = []  # of a token, before each pass
+        while len(self.likelihoods) < s.sample_passes + s.passes:
+            counts, seen = self._expected(training, model)
+            model = Hmm.from_counts(*counts, self.unigrams)
+            self.likelihoods.append(seen / self.n)
+            if len(self.likelihoods) > 1 and self.likelihoods[-1] - self.likelihoods[-2] < s.gain:
+                break
         return model
 
     def scores(self) -> DataFrame:
