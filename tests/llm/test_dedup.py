@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import near_dedup
 from vellum.llm.common import Scratch
@@ -128,3 +129,12 @@ def test_near_edge_cases(spark):
 
 def test_long_text():
     assert len(shingle_set("a b c " * 200_000, 3)) == 3
+
+
+def test_large_buckets_of_every_band(spark):
+    """Six linked pairs that meet in one large bucket of the last band only."""
+    rows = [(2 * p + copy, " ".join(f"w{p}x{j}" for j in range(60 + copy))) for p in range(6) for copy in (0, 1)]
+    search = NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), 3, 85, 100, block=2)
+    bands = F.concat(F.transform(F.sequence(F.lit(1), F.lit(31)), lambda i: F.col("cid") * 100 + i), F.array(F.lit(-1).cast("long")))
+    search.classes = search.scratch.put(search.classes.withColumn("bands", bands), "classes")
+    assert {r.doc_id: r.component_id for r in search.run().rows().collect()} == {i: i // 2 * 2 for i, _ in rows}

@@ -9,7 +9,7 @@ Links are looked for so that no group emits all its pairs:
 2. Only a bucket of any band whose members are still in different components has pairs left to
    try. In a few turns, each with another member as the centre, the members outside the centre's
    component are compared with the centre.
-3. In buckets that are open even then, the members outside the centre's component are compared
+3. In buckets of any band that are open even then, the members outside the centre's component are compared
    with all members, in blocks of bounded size that hold signatures and sets of 32-bit hashes.
    A member needs one link to each other component, so a block yields few pairs, not all.
 
@@ -19,7 +19,6 @@ what the threshold asks for, and full sets alone decide.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,9 +32,6 @@ from .components import connected_components
 
 #: Members outside, and members, that are compared in one block.
 BLOCK, MEMBERS = 256, 4096
-#: In buckets of more members only so many bands are used that a pair at the threshold misses all
-#: of them this often at most: close copies have many bands in common.
-MISSED = 1e-4
 #: Centres that are tried before members are compared with each other.
 TURNS = 2
 #: Members that meet one centre's set in one group.
@@ -149,7 +145,6 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, bands: int = 32, rows: int = 5, block: int = BLOCK):
         self.docs, self.scratch, self.k, self.num, self.den, self.bands, self.block = docs, scratch, k, num, den, bands, block
         goal = num / den
-        self.wide = min(bands, math.ceil(math.log(MISSED) / math.log(1 - goal**rows))) if goal < 1 else 1
         self.least = goal - 5 * (goal * (1 - goal) / (bands * rows)) ** 0.5
         self.profiles = scratch.put(_profiles(docs, k, bands, rows), "profiles")
         some = self.profiles.where("n > 0").groupBy("fp").agg(
@@ -262,7 +257,7 @@ class NearDuplicates:
         that depends on the turn, and its component. A bucket of two is done after turn 0."""
         by = F.xxhash64("cid", F.lit(turn))
         size = rows.groupBy("bucket").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.first("band").alias("at"), F.min_by("cid", by).alias("centre"), F.min_by("component", by).alias("own")
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min_by("cid", by).alias("centre"), F.min_by("component", by).alias("own")
         )
         return self.scratch.put(size.where(F.col("lo") != F.col("hi")).where(F.col("m") > (2 if turn else 1)).drop("lo", "hi"), "open")
 
@@ -280,18 +275,16 @@ class NearDuplicates:
     def _blocks(self) -> DataFrame | None:
         """Pairs across components that link by 32-bit hashes, or nearly: of each member outside
         one for every other component that has one. None if no bucket is open."""
-        least, num, den, goal, wide = self.least, self.num, self.den, self.num / self.den, self.wide
+        least, num, den, goal = self.least, self.num, self.den, self.num / self.den
         rows = self._banded(self.bands)
         size = self._open(rows, TURNS)
         if size.isEmpty():
             return None
-        size = size.where((F.col("m") <= self.block) | (F.col("at") < self.wide))
         members = self.scratch.put(rows.join(size, "bucket").select("bucket", "band", "cid", "component", "m", "own"), "members")
         outside = members.where("component != own").groupBy("bucket").agg(F.ceil(F.count("*") / self.block).alias("parts"))
-        # a pair is compared in the first of the wide bands that both share, if in one of those
-        keys = F.slice("bands", 1, self.wide)
+        # a pair is compared in the first band that both share
         sets = self._with_sets(members.select("cid"))
-        classes = self.classes.select("cid", "n", "sketch", keys.alias("keys")).join(sets.select("cid", "low"), "cid")
+        classes = self.classes.select("cid", "n", "sketch", F.col("bands").alias("keys")).join(sets.select("cid", "low"), "cid")
         members = members.join(outside, "bucket").join(self.scratch.put(classes.join(members.select("cid").distinct(), "cid"), "compared"), "cid")
         chunks = F.ceil(F.col("m") / MEMBERS)
         upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -309,7 +302,7 @@ class NearDuplicates:
                     (*(np.array([r[i] for r in rs]) for i in (1, 2, 3)), np.frombuffer(b"".join(r[4] for r in rs), np.uint8).reshape(len(rs), -1), np.array([r[5] for r in rs])) for rs in roles
                 )
                 lows = [[np.frombuffer(r[6], np.uint32) for r in rs] for rs in roles]
-                before, out = min(roles[0][0][0], wide), []
+                before, out = roles[0][0][0], []
                 for i in range(len(ids)):
                     js = np.nonzero((comps2 != comps[i]) & (np.minimum(ns2, ns[i]) * den >= np.maximum(ns2, ns[i]) * num))[0]
                     js = js[~(keys2[js, :before] == keys[i, :before]).any(axis=1)]
