@@ -58,11 +58,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, and return the written table: fresh lineage, known size."""
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write df, and return the written table: fresh lineage, known size. by: columns that
+        become folders, so that a filter on them reads no others."""
         self._n += 1
         path = self.path(f"{name}-{self._n}")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -80,6 +81,51 @@ class Scratch:
             self._fs(path).delete(self._path(path), True)
 
 
+#: Rows of some 60 bytes that may be broadcast, after they are counted; more meet in a shuffle.
+SMALL = 250_000
+#: Rows of one key that may meet in one task of a shuffled join, or a hundred-thousandth of all, if that is more.
+HOT = 1000
+
+
+def listed(rows: DataFrame, small: int = SMALL) -> DataFrame:
+    """rows as the side of a join that is broadcast if they are few, and else sorted and merged."""
+    return F.broadcast(rows) if rows.count() <= small else rows.hint("merge")
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """rows (`total` of them) joined with facts, one for each key; column n: how many rows have it.
+
+    Keys with more than a hundred-thousandth of the rows are broadcast: there are fewer than
+    100,000 of them at any size of the tables. So no key that is shuffled is a large one.
+    """
+    most = max(HOT, total // 100_000)
+    hot = facts.where(F.col(n) > most)
+    if hot.isEmpty():
+        return rows.join(facts.hint("merge"), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(n) <= most).hint("merge"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever the case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame):
+    """Of all columns: an order among rows of one id and text that doesn't depend on their places."""
+    parts = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        parts += [c.isNull(), F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c]
+    return F.xxhash64(*parts)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

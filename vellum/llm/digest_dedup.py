@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, Scratch, table, text_or_empty
+from .common import SMALL, WS, Scratch, join_facts, listed, own_names, row_hash, table, text_or_empty
 
 
 def text_digest(column: str = "text"):
@@ -36,22 +36,27 @@ class DigestIndex:
         )
 
     def entries(self) -> DataFrame:
-        """The index as plain files: joins on it may then split a hot digest over tasks."""
-        return self.spark.read.schema(self.COLUMNS).parquet(self.path)
+        return self.spark.table(self.name)
 
-    def append(self, rows: DataFrame, batch: str) -> None:
-        """Index the texts of `rows` (doc_id, row, digest) that the index lacks.
+    def close(self) -> None:
+        """Take the table out of the session's catalog. The files stay, and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-        Of equal texts the smallest doc_id stays, a null id last, then the smallest row.
-        """
-        order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-        found = rows.groupBy("digest").agg(F.min(order).alias("k"), F.count("*").alias("group_size"))
+    def append(self, found: DataFrame, batch: str) -> None:
+        """Index what the index lacks of found (digest, k: doc_id and row, group_size)."""
         fresh = found.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
         fresh = fresh.select("digest", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"), "group_size", F.lit(batch).alias("batch"))
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """digest, k, group_size. Of equal texts the smallest doc_id stays, a null id last, then the
+    smallest row. Added up within each task first, so a hot digest is a few rows."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    return rows.groupBy("digest").agg(F.min(order).alias("k"), F.count("*").alias("group_size"))
+
+
 def exact_dedup(docs: DataFrame, scratch: Scratch, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
     """Every row of `docs` (doc_id, text) with its group.
 
@@ -60,21 +65,52 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, index: DigestIndex | None = N
     into the index keeps none of its rows here. An empty table gives no rows; other columns of
     `docs` are not looked at.
     """
-    index = index or DigestIndex(docs.sparkSession, scratch.path("index"))
     rows = scratch.put(docs.select("doc_id", text_digest().alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
-    index.append(rows, batch)
-    got = rows.join(index.entries(), "digest")  # two plain scans: a skewed digest can be split
+    got = join_facts(rows, _indexed(rows, scratch, index, batch), "digest", rows.count())
     kept = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
     return got.select("doc_id", "row", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def dedup_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    digests = exact_dedup(docs, scratch)
-    winners = digests.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_key", text_digest())
-    got = rows.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
-    return got.dropDuplicates(["doc_id", "_key"]).select(docs.columns)
+def _indexed(rows: DataFrame, scratch: Scratch, index: DigestIndex | None, batch: str) -> DataFrame:
+    """Append rows (doc_id, row, digest) to the index; its entry for each digest of them, and n, the
+    number of rows that have it."""
+    own = index or DigestIndex(rows.sparkSession, scratch.path("index"))
+    found = scratch.put(_groups(rows), "found")
+    own.append(found, batch)
+    facts = scratch.put(own.entries().join(found.select("digest", F.col("group_size").alias("n")).hint("merge"), "digest"), "facts")
+    if index is None:
+        own.close()
+    return facts
+
+
+def dedup_documents(docs: DataFrame, scratch: Scratch, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: of equal texts that with the smallest
+    doc_id, a null id last, then that with the smallest hash of its row. A text that an earlier
+    batch put into the index keeps none.
+
+    While there are no more than SMALL texts of which a row goes, only digests are shuffled.
+    """
+    key, who, n, k = own_names(docs, "digest", "who", "n", "k")
+    keyed = docs.withColumn(key, text_digest()).withColumn(who, row_hash(docs))
+    rows = scratch.put(keyed.select("doc_id", F.col(key).alias("digest"), F.col(who).alias("row")), "digests")
+    facts = _indexed(rows, scratch, index, batch).where((F.col("n") > 1) | (F.col("batch") != batch))
+    facts = scratch.put(facts.select("digest", "n", "keep_id", "keep_row", (F.col("batch") == batch).alias("new")), "losing")
+    first = lambda row, id_, k: F.col(f"{k}new") & (F.col(row) == F.col(f"{k}keep_row")) & F.col(id_).eqNullSafe(F.col(f"{k}keep_id"))
+    total = rows.count()
+    again = join_facts(rows, facts, "digest", total).where(first("row", "doc_id", "")).groupBy("digest").count().where("count > 1")
+    again = scratch.put(again.select(F.col("digest").alias(key)), "again")  # all rows of the group's first one are equal
+    losing = facts.select(F.col("digest").alias(key), F.col("n").alias(n), F.struct("keep_id", "keep_row", "new").alias(k))
+    if losing.count() <= SMALL:
+        met = keyed.join(F.broadcast(losing), key, "left")
+    else:
+        alone = keyed.join(losing.select(key).hint("merge"), key, "left_anti").withColumns({n: F.lit(1).cast("long"), k: F.lit(None).cast(losing.schema[k].dataType)})
+        met = join_facts(keyed, losing, key, total, n).unionByName(alone)
+    met = met.where(F.col(k).isNull() | first(who, "doc_id", f"{k}."))
+    if again.isEmpty():
+        return met.select(docs.columns)
+    again = listed(again)
+    once = met.join(again, key, "left_semi").dropDuplicates([key])
+    return met.join(again, key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op4_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
