@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_facts
 
 #: Edges in one partition: the rounds are small jobs, and are cut to the size of their data.
 EDGES = 200_000
-#: A node's rows meet its minimum in so many parts, as one node may have a third of all edges.
-SALTS = 16
-
-
-def _meet(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of least (u, m)."""
-    salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -34,6 +26,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     def cut(df: DataFrame) -> DataFrame:
         return df.coalesce(parts)
 
+    def meet(some: DataFrame, least: DataFrame) -> DataFrame:
+        """some (u, v) with m of least (u, m, n). One node may have a third of all edges: it is
+        broadcast, unless all edges are one partition anyway."""
+        return some.join(least.drop("n"), "u") if parts == 1 else join_facts(some, least, "u", parts * EDGES).drop("n")
+
     def put(df: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
         out = scratch.put(cut(df.distinct()).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "edges")
@@ -42,10 +39,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     kept, mark = put(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = cut(_meet(both.where("v > u"), least)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = cut(_meet(large, least)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = cut(meet(both.where("v > u"), least)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = cut(meet(large, least)).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new, new_mark = put(small.unionByName(least.select("u", F.col("m").alias("v"))))
         scratch.drop(kept)
         kept = new

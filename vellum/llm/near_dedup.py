@@ -26,18 +26,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Scratch, table, text_or_empty
+from .common import SMALL, Scratch, join_facts, listed, own_names, row_hash, table, text_or_empty
 from .components import connected_components
 
-#: Members outside, and members, that are compared in one block.
+#: Members outside, and members, that are compared in one block. A task holds the former only.
 BLOCK, MEMBERS = 256, 4096
 #: Centres that are tried before members are compared with each other.
 TURNS = 2
-#: Members that meet one centre's set in one group.
+#: Members that meet one centre's set in one group, or each other's in a block at once.
 CHUNK = 64
-#: Rows of some 60 bytes that may be broadcast; more are joined by a shuffle.
-SMALL = 250_000
 #: Bands of the first step.
 FIRST = 8
 REMEMBERED = 200_000
@@ -135,6 +134,51 @@ def _grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tupl
         yield held
 
 
+class _Members:
+    """Some rows of a block: cid, component, n, sketch, keys, low, and the band of its bucket."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        rows = batch.num_rows
+        self.ids, self.components, self.sizes = (batch[c].to_numpy() for c in ("cid", "component", "n"))
+        self.band = batch["band"][0].as_py()
+        self.sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(rows, -1)
+        self.keys = batch["keys"].flatten().to_numpy().reshape(rows, -1)
+        self.low = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch["low"]]
+        self.linked: list[set[int]] = [set() for _ in range(rows)]
+
+    def copied(self) -> "_Members":
+        """Without the batch's memory."""
+        self.ids, self.components, self.sizes, self.keys = (x.copy() for x in (self.ids, self.components, self.sizes, self.keys))
+        self.low = [x.copy() for x in self.low]
+        return self
+
+    def links(self, other: "_Members", num: int, den: int, least: float) -> list[tuple[int, int, float]]:
+        """Pairs of these with the others that link by 32-bit hashes, or nearly, and their
+        likeness; one is enough for each of these and each other component."""
+        goal, out = num / den, []
+        fine = self.components[:, None] != other.components[None, :]
+        fine &= np.minimum(self.sizes[:, None], other.sizes[None, :]) * den >= np.maximum(self.sizes[:, None], other.sizes[None, :]) * num
+        for i in np.nonzero(fine.any(axis=1))[0].tolist():
+            js = np.nonzero(fine[i])[0]
+            js = js[~(other.keys[js, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+            share = (other.sketch[js] == self.sketch[i]).mean(axis=1)
+            js, share = js[share >= least], share[share >= least]
+            one, linked = self.low[i], self.linked[i]
+            for j in js[np.argsort(-share, kind="stable")].tolist():
+                if other.components[j] in linked:
+                    continue
+                two = other.low[j]
+                at = np.searchsorted(one, two)
+                at[at == len(one)] = 0
+                both = int((one[at] == two).sum())
+                alike = both / (len(one) + len(two) - both)
+                if alike >= goal - 0.01:  # halves of hashes may coincide: full sets decide
+                    out.append((min(self.ids[i], other.ids[j]), max(self.ids[i], other.ids[j]), alike))
+                if alike >= goal + 0.005:
+                    linked.add(other.components[j])
+        return out
+
+
 class NearDuplicates:
     """One search over docs (doc_id, text): link where den * |A and B| >= num * |A or B|.
 
@@ -148,7 +192,7 @@ class NearDuplicates:
         self.least = goal - 5 * (goal * (1 - goal) / (bands * rows)) ** 0.5
         self.profiles = scratch.put(_profiles(docs, k, bands, rows), "profiles")
         some = self.profiles.where("n > 0").groupBy("fp").agg(
-            F.first("n").alias("n"), F.min("doc_id").alias("min_id"), F.first(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+            F.first("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("min_id"), F.first(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
         )
         self.classes = scratch.put(some.withColumn("cid", F.monotonically_increasing_id()), "classes")
         self.sets = self.links = self.found = None
@@ -275,7 +319,7 @@ class NearDuplicates:
     def _blocks(self) -> DataFrame | None:
         """Pairs across components that link by 32-bit hashes, or nearly: of each member outside
         one for every other component that has one. None if no bucket is open."""
-        least, num, den, goal = self.least, self.num, self.den, self.num / self.den
+        least, num, den = self.least, self.num, self.den
         rows = self._banded(self.bands)
         size = self._open(rows, TURNS)
         if size.isEmpty():
@@ -294,38 +338,28 @@ class NearDuplicates:
         two = members.select("bucket", F.explode(upto(F.col("parts"))).alias("part"), F.pmod(F.xxhash64("cid", F.lit(1)), chunks).alias("chunk"), F.lit(1).alias("role"), *facts)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for group in _grouped(batches, 3):
-                roles = [[r[4:] for r in group if r[3] == role] for role in (0, 1)]
-                if not all(roles):
-                    continue
-                (ids, comps, ns, sk, keys), (ids2, comps2, ns2, sk2, keys2) = (
-                    (*(np.array([r[i] for r in rs]) for i in (1, 2, 3)), np.frombuffer(b"".join(r[4] for r in rs), np.uint8).reshape(len(rs), -1), np.array([r[5] for r in rs])) for rs in roles
-                )
-                lows = [[np.frombuffer(r[6], np.uint32) for r in rs] for rs in roles]
-                before, out = roles[0][0][0], []
-                for i in range(len(ids)):
-                    js = np.nonzero((comps2 != comps[i]) & (np.minimum(ns2, ns[i]) * den >= np.maximum(ns2, ns[i]) * num))[0]
-                    js = js[~(keys2[js, :before] == keys[i, :before]).any(axis=1)]
-                    share = (sk2[js] == sk[i]).mean(axis=1)
-                    js, share = js[share >= least], share[share >= least]
-                    one, linked = lows[0][i], set()
-                    for j in js[np.argsort(-share, kind="stable")].tolist():
-                        if comps2[j] in linked:
-                            continue
-                        other = lows[1][j]
-                        at = np.searchsorted(one, other)
-                        at[at == len(one)] = 0
-                        both = int((one[at] == other).sum())
-                        alike = both / (len(one) + len(other) - both)
-                        if alike >= goal - 0.01:  # halves of hashes may coincide: full sets decide
-                            out.append((min(ids[i], ids2[j]), max(ids[i], ids2[j]), alike))
-                        if alike >= goal + 0.005:
-                            linked.add(comps2[j])
+            now, held = None, []  # a block, and its members outside; the others pass by, some at a time
+            for batch in batches:
+                keyed = np.stack([batch[c].to_numpy() for c in ("bucket", "part", "chunk", "role")])
+                cuts = np.nonzero((keyed[:, 1:] != keyed[:, :-1]).any(axis=0))[0] + 1
+                out = []
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                    if hi == lo:
+                        continue
+                    if tuple(keyed[:3, lo]) != now:
+                        now, held = tuple(keyed[:3, lo]), []
+                    for at in range(lo, hi, CHUNK):
+                        part = _Members(batch.slice(at, min(CHUNK, hi - at)))
+                        if not keyed[3, lo]:
+                            held.append(part.copied())
+                        else:
+                            for some in held:
+                                out += some.links(part, num, den, least)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "share"])
 
         keys = ["bucket", "part", "chunk"]
-        placed = one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys)
+        placed = one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys, "role")
         return placed.mapInArrow(compare, "a long, b long, share double")
 
     def run(self) -> "NearDuplicates":
@@ -346,29 +380,42 @@ class NearDuplicates:
     def rows(self) -> DataFrame:
         """One row per document: doc_id, text_key, n, component_id (the smallest id that can be
         reached; its own without links), root (equal within a component; null without a set)."""
-        of = self.classes.select("fp", "cid", "min_id")
+        of = self.classes.select("fp", "cid", "min_id", "rows")
         if self.found is not None:
             of = of.join(self.found, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cid"))
         else:
             of = of.withColumn("root", F.col("cid"))
-        of = self.scratch.put(of.select("fp", "root", "min_id"), "roots")
-        least = self.scratch.put(of.groupBy("root").agg(F.min("min_id").alias("component_id")), "least")
-        of = self.scratch.put(of.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "of")
-        found = self.profiles.join(of, (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
-        return found.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+        of = self.scratch.put(of.select("fp", "root", "min_id", "rows"), "roots")
+        least = self.scratch.put(of.groupBy("root").agg(F.min("min_id").alias("component_id"), F.count("*").alias("n")), "least")
+        of = self.scratch.put(join_facts(of, least, "root", of.count()).select("fp", "root", "component_id", "rows"), "of")
+        some = self.profiles.where("n > 0").select("doc_id", "text_key", "n", "fp")
+        found = join_facts(some, of, "fp", some.count(), "rows").select("doc_id", "text_key", "n", "component_id", "root")
+        none = self.profiles.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+        return found.unionByName(none)
 
 
 def near_dedup_documents(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of `docs` that stay, one per component, with all their columns: that with the
-    smallest doc_id, a null id last, then the smallest hash of its text. Documents without words
-    all stay, but of fully repeated rows one."""
+    smallest doc_id, a null id last, then the smallest hash of its text, then of its row.
+    Documents without words all stay, but of rows with equal id and text one.
+
+    While no more than SMALL rows go, texts are not shuffled."""
     rows = scratch.put(NearDuplicates(docs, scratch, k, num, den).run().rows(), "rows")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("b")
-    keep = rows.where("root is not null").groupBy("root").agg(best).select("b.doc_id", "b.text_key").unionByName(rows.where("root is null").select("doc_id", "text_key").distinct())
-    keep = scratch.put(keep.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "keep")
-    keyed = docs.withColumn("_text_key", F.md5(text_or_empty()))
-    got = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return got.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns)
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("who")
+    some = rows.select("root", who).where("root is not null")
+    best = scratch.put(some.groupBy("root").agg(F.min("who").alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
+    key, id_, its, hash_, nth = own_names(docs, "text_key", "id", "its_key", "row_hash", "nth")
+    named = lambda df: df.select(F.col("who.doc_id").alias(id_), F.col("who.text_key").alias(its)).distinct()
+    losers = scratch.put(named(join_facts(some, best, "root", some.count()).where("who != best")), "losers")
+    again = scratch.put(named(rows.select(who).groupBy("who").count().where("count > 1")), "again")
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(its))
+    kept = docs.withColumn(key, F.md5(text_or_empty())).join(listed(losers), on, "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    again = listed(again)
+    hashed = kept.join(again, on, "left_semi").withColumn(hash_, row_hash(docs))
+    once = hashed.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(hash_))).where(F.col(nth) == 1)
+    return kept.join(again, on, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op5_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
