@@ -1,17 +1,22 @@
 """Scoring texts by a hidden Markov language model trained with Baum-Welch.
 
-The model's symbols are the most frequent training words (all those with some count or more), an end of text, and classes of all
-other words. Given its class, a word outside the head has its share of the class's training
-counts, whatever the state. So the probability of a text is the exact one of its symbols, from
-the scaled forward recursion, times that of each rarer word in its class. The vocabulary may grow
-without bound: the head is bounded, and rarer words meet their counts in a join.
-
-Training: each pass sums the expected counts of every training document, until the likelihood of
-all of them hardly grows any more.
+The model's symbols are the most frequent training words (all those with some count or more), an
+end of text, and classes of all other words. Both head and classes grow with the square root of
+the vocabulary: the model gets larger with the corpus, and still fits a task when the vocabulary
+has ten thousand million words. Given its class, a word outside the head has its share of the
+class's training counts, whatever the state. So the probability of a text is the exact one of its
+symbols, from the scaled forward recursion, times that of each rarer word in its class. Rarer
+words meet their counts in a join.
+
+Training: the documents are dealt into slices by hash. In the first rounds each slice's expected
+counts move the model a little (stepwise Baum-Welch), so a round improves it as often as there are
+slices; then passes over all documents set the parameters, until the likelihood of all of them
+hardly grows. Every round and pass sums the expected counts of every training document.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,14 +40,16 @@ HELD = 300_000
 @dataclass(frozen=True)
 class Settings:
     states: int = 12
-    head: int = 50_000
-    classes: int = 64
-    sample: int = 3_000  # not used any more: every pass sees all training documents
-    sample_passes: int = 12  # place the states
-    passes: int = 2  # set the parameters; both kinds are over all training documents
+    head: float = 80.0  # words in the head, and
+    classes: float = 0.1  # classes of the others, for each root of the vocabulary's size
+    slices: int = 8
+    rounds: int = 1  # over the slices
+    decay: float = 0.7  # the n-th step moves the counts by (n + 1) ** -decay
+    passes: int = 3  # over all documents at once, at most
     gain: float = 1e-3  # training stops when a pass adds less to the log likelihood of a token
     piece: int = 2_048  # training cuts longer texts, which bounds its memory; scoring does not
-    batch_tokens: int = 300_000
+    batch_tokens: int = 400_000
+    ranges: int = 16  # of symbols, in which tasks' counts are added up
     seed: int = 11
 
 
@@ -102,7 +109,7 @@ class Hmm:
     """start (K), move (K, K), emit (symbols, K)."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit, self.seen = start, move, emit, 0.0
+        self.start, self.move, self.emit, self.seen, self._single = start, move, emit, 0.0, None
 
     @classmethod
     def fresh(cls, states: int, unigrams: np.ndarray, seed: int) -> "Hmm":
@@ -138,40 +145,45 @@ class Hmm:
 
     def expected(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions over the sequences. Their log likelihood
-        is added to `seen`."""
+        is added to `seen`. Sequences run side by side, a column each; single precision, as the
+        counts are only estimates."""
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-        ends = np.cumsum(live)
-        at = np.concatenate([starts[:n] + t for t, n in enumerate(live)])
-        e = self.emit[flat[at]]
-        alpha, scales = np.empty_like(e), np.empty(len(e))
-        for t, n in enumerate(live):
-            lo, hi = ends[t] - n, ends[t]
-            a = (self.start if not t else alpha[ends[t - 1] - live[t - 1] : ends[t - 1] - live[t - 1] + n] @ self.move) * e[lo:hi]
-            scales[lo:hi] = a.sum(axis=1)
-            alpha[lo:hi] = a / scales[lo:hi, None]
-        self.seen += float(np.log(scales).sum())
-        move = np.zeros_like(self.move)
-        beta = np.ones((0, len(self.start)))
-        back = self.move.T.copy()
-        for t in range(len(live) - 1, -1, -1):
-            n, m = live[t], len(beta)
-            lo = ends[t] - n
-            now = np.ones((n, len(self.start)))
+        ends = np.cumsum(live).tolist()
+        symbols = flat[np.concatenate([starts[:n] + t for t, n in enumerate(live)])]
+        live = live.tolist()
+        states, move = len(self.start), self.move.astype(np.float32)
+        forth, first = np.ascontiguousarray(move.T), self.start.astype(np.float32)[:, None]
+        e = np.ascontiguousarray(self._emit32()[symbols].T)
+        alpha, scales = np.empty_like(e), np.empty(e.shape[1], np.float32)
+        before = 0
+        for n, hi in zip(live, ends):
+            lo = hi - n
+            now = alpha[:, lo:hi]
+            np.multiply(forth @ alpha[:, before : before + n] if lo else first, e[:, lo:hi], out=now)
+            scales[lo:hi] = now.sum(axis=0)
+            now /= scales[lo:hi]
+            before = lo
+        self.seen += float(np.log(scales.astype(np.float64)).sum())
+        e /= scales
+        moved, beta = np.zeros_like(self.move), np.ones((states, 0), np.float32)
+        for n, hi in zip(reversed(live), reversed(ends)):
+            lo, m = hi - n, beta.shape[1]
+            now = np.ones((states, n), np.float32)
             if m:  # sequences that go on
-                weighed = e[ends[t] : ends[t] + m] * beta / scales[ends[t] : ends[t] + m, None]
-                now[:m] = weighed @ back
-                move += alpha[lo : lo + m].T @ weighed
+                weighed = e[:, hi : hi + m] * beta
+                now[:, :m] = move @ weighed
+                moved += alpha[:, lo : lo + m] @ weighed.T
             beta = now
-            alpha[lo : ends[t]] *= now  # now the posterior of the states
-        start = alpha[: live[0]].sum(axis=0)
-        symbols = flat[at]
-        by = np.argsort(symbols, kind="stable")
-        found, first = np.unique(symbols[by], return_index=True)
-        emit = np.zeros_like(self.emit)
-        emit[found] = np.add.reduceat(alpha[by], first, axis=0)
-        return start, move * self.move, emit
+            alpha[:, lo:hi] *= now  # now the posterior of the states
+        emit = np.stack([np.bincount(symbols, row, len(self.emit)) for row in alpha], axis=1)
+        return alpha[:, : live[0]].sum(axis=1, dtype=np.float64), moved * self.move, emit
+
+    def _emit32(self) -> np.ndarray:
+        if self._single is None:
+            self._single = self.emit.astype(np.float32)
+        return self._single
 
 
 def _pieces(starts: np.ndarray, lengths: np.ndarray, piece: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,28 +218,29 @@ class HmmModel:
         self.counts = scratch.put(word_counts(docs), "counts")
         n, v = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         self.n, self.v = int(n), int(v)
-        # the least count that at most s.head words reach: the head is what the driver gets
+        self.classes, head = (max(1, math.ceil(x * math.sqrt(self.v))) for x in (s.classes, s.head))
+        # the least count that at most `head` words reach: the head is what the driver gets
         tally = self.counts.where(F.col("word") != F.lit(END)).groupBy("c").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        least = tally.withColumn("upto", upto).where(F.col("upto") <= s.head).agg(F.min("c")).first()[0]
+        least = tally.withColumn("upto", upto).where(F.col("upto") <= head).agg(F.min("c")).first()[0]
         words = [] if least is None else sorted(self.counts.where((F.col("c") >= least) & (F.col("word") != F.lit(END))).collect(), key=lambda r: (-r["c"], r["word"]))
         self.head_counts = np.array([0] + [r["c"] for r in words], np.int64)
         self.head_counts[0] = self.counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        self.symbols = Symbols([bytes(r["word"]) for r in words], s.classes)
+        self.symbols = Symbols([bytes(r["word"]) for r in words], self.classes)
         self._tail(words)
         unigrams = np.concatenate([self.head_counts, self.class_n]).astype(float)
         self.unigrams = unigrams
-        self.documents = scratch.put(self._encoded(docs), "symbols")
+        self.documents = scratch.put(self._encoded(docs), "symbols", "slice")
         self.model = self._train()
 
     def _tail(self, words: list) -> None:
         """Tokens and types of each class among the words outside the head."""
-        cls = F.pmod(F.crc32("word"), F.lit(self.settings.classes))
-        n, v = np.zeros(self.settings.classes, np.int64), np.zeros(self.settings.classes, np.int64)
+        cls = F.pmod(F.crc32("word"), F.lit(self.classes))
+        n, v = np.zeros(self.classes, np.int64), np.zeros(self.classes, np.int64)
         for k, tokens_, types in self.counts.where(F.col("word") != F.lit(END)).groupBy(cls).agg(F.sum("c"), F.count("*")).collect():  # one row a class
             n[k], v[k] = tokens_, types
         for r in words:
-            k = zlib.crc32(r["word"]) % self.settings.classes
+            k = zlib.crc32(r["word"]) % self.classes
             n[k] -= r["c"]
             v[k] -= 1
         self.class_n, self.class_v = n, v
@@ -236,9 +249,9 @@ class HmmModel:
         return np.log10((c + EXTRA) / (self.n + EXTRA * (self.v + 1)))
 
     def _encoded(self, docs: DataFrame) -> DataFrame:
-        """row, doc_id, held_out, symbols, rare (words outside the head), head_base, head_known."""
-        symbols, known = self.symbols, np.concatenate([self.head_counts, np.zeros(self.settings.classes, np.int64)])
-        base = np.concatenate([self.base_log10(self.head_counts), np.zeros(self.settings.classes)])
+        """row, slice, doc_id, held_out, symbols, rare (words outside the head), head_base, head_known."""
+        symbols, known = self.symbols, np.concatenate([self.head_counts, np.zeros(self.classes, np.int64)])
+        base = np.concatenate([self.base_log10(self.head_counts), np.zeros(self.classes)])
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("symbols", pa.list_(pa.int32())), ("rare", pa.list_(pa.binary())), ("head_base", pa.float64()), ("head_known", pa.int64())])
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,35 +266,45 @@ class HmmModel:
 
         ddl = "doc_id long, held_out boolean, symbols array<int>, rare array<binary>, head_base double, head_known long"
         coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ddl)
-        return coded.withColumn("row", F.monotonically_increasing_id())
+        return coded.withColumn("row", F.monotonically_increasing_id()).withColumn("slice", F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(self.settings.slices)).cast("int"))
 
-    def _expected(self, rows: DataFrame, model: Hmm) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
-        """Expected counts over rows, and their log likelihood: each task sums its own, and sums meet by slices of the
-        symbols, so that what the driver gets is one model's worth."""
+    def _expected(self, rows: DataFrame, model: Hmm) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float, int]:
+        """Expected counts over rows, their log likelihood, and their tokens. Each task sums its
+        own; sums meet by ranges of symbols, so that what the driver gets is one model's worth."""
         shared, states, size = self.spark.sparkContext.broadcast((model.start, model.move, model.emit)), self.settings.states, self.symbols.size
-        piece, most = self.settings.piece, self.settings.batch_tokens
-        schema = pa.schema([("symbol", pa.int32()), ("counts", pa.list_(pa.float64()))])
+        piece, most, ranges = self.settings.piece, self.settings.batch_tokens, self.settings.ranges
+        edges = np.linspace(0, size, ranges + 1).astype(int).tolist()
+        schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, total = Hmm(*shared.value), None
+            m, total, n = Hmm(*shared.value), None, 0
             for batch in batches:
                 flat, starts, lengths = _sequences(batch)
-                for part in _pieces(starts, lengths, piece, most):
-                    got = m.expected(flat, *part)
+                n += len(flat)
+                for group in _pieces(starts, lengths, piece, most):
+                    got = m.expected(flat, *group)
                     total = got if total is None else tuple(x + y for x, y in zip(total, got))
             if total is not None:
-                rows = np.vstack([total[2], total[0][None, :], total[1], np.full((1, states), m.seen)])
-                used = np.nonzero(rows.any(axis=1))[0]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, states * len(used) + 1, states), pa.int32()), pa.array(rows[used].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), lists], schema=schema)
-
-        each = rows.select("symbols").mapInArrow(expect, "symbol int, counts array<double>")
-        summed = each.groupBy("symbol").agg(*[F.sum(F.col("counts")[i]).alias(f"k{i}") for i in range(states)])
-        total = np.zeros((size + 2 + states, states))
-        got = summed.toArrow()  # (symbols + states + 2) rows at most
-        total[got["symbol"].to_numpy()] = np.column_stack([got[f"k{i}"].to_numpy() for i in range(states)])
+                rest = np.concatenate([total[0], total[1].ravel(), [m.seen, n]])
+                parts = [total[2][lo:hi].astype(np.float32).tobytes() for lo, hi in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(range(ranges + 1), pa.int32()), pa.array([*parts, rest.tobytes()], pa.binary())], schema=schema)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, data in zip(batch["part"].to_pylist(), batch["counts"]):
+                    new = np.frombuffer(data.as_buffer(), np.float64 if part == ranges else np.float32)
+                    sums[part] = sums[part] + new if part in sums else new.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
+
+        each = rows.select("symbols").mapInArrow(expect, "part int, counts binary")
+        got = {r["part"]: np.frombuffer(r["counts"]) for r in each.repartition(ranges + 1, "part").mapInArrow(add, "part int, counts binary").collect()}  # one model
         shared.unpersist()
-        return (total[size], total[size + 1 : -1], total[:size]), float(total[-1, 0])
+        if not got:
+            return (np.zeros(states), np.zeros((states, states)), np.zeros((size, states))), 0.0, 0
+        rest = got[ranges]
+        emit = np.concatenate([got[i] for i in range(ranges)]).reshape(size, states)
+        return (rest[:states], rest[states:-2].reshape(states, states), emit), float(rest[-2]), int(rest[-1])
 
     def _train(self) -> Hmm:
         s = self.settings
@@ -289,11 +312,22 @@ class HmmModel:
         training = self.documents.where("not held_out")
         if not self.n:
             return model
+        held, steps = None, 0
+        for k in [k for _ in range(s.rounds) for k in range(s.slices)]:
+            counts, _, n = self._expected(training.where(F.col("slice") == k), model)
+            if n:
+                steps += 1
+                share = steps**-s.decay
+                counts = [x * (self.n / n) for x in counts]
+                held = counts if held is None else [(1 - share) * old + share * new for old, new in zip(held, counts)]
+                model = Hmm.from_counts(*held, self.unigrams)
+        self.scratch.tidy()
         self.likelihoods: list[float] = []  # of a token, before each pass
-        while len(self.likelihoods) < s.sample_passes + s.passes:
-            counts, seen = self._expected(training, model)
+        while len(self.likelihoods) < s.passes:
+            counts, seen, _ = self._expected(training, model)
             model = Hmm.from_counts(*counts, self.unigrams)
             self.likelihoods.append(seen / self.n)
+            self.scratch.tidy()
             if len(self.likelihoods) > 1 and self.likelihoods[-1] - self.likelihoods[-2] < s.gain:
                 break
         return model
@@ -317,9 +351,9 @@ class HmmModel:
         heads = self.documents.select("row", "doc_id", "held_out", "head_base", "head_known", "symbols").mapInArrow(score, ddl)
         rare = self.documents.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
         met = rare.join(self.counts.hint("merge"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        cls = F.pmod(F.crc32("word"), F.lit(self.settings.classes)) + 1
-        n_g, v_g = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), cls.cast("int")) for xs in (self.class_n, self.class_v))
-        inside = F.log10((F.col("c") + EXTRA) / (n_g + EXTRA * (v_g + 1)))
+        facts = self.spark.createDataFrame(pa.table({"cls": pa.array(range(self.classes), pa.int64()), "n_g": self.class_n.astype(float), "v_g": self.class_v.astype(float)}))
+        met = met.withColumn("cls", F.pmod(F.crc32("word"), F.lit(self.classes).cast("long"))).join(F.broadcast(facts), "cls")  # a root of the vocabulary's size
+        inside = F.log10((F.col("c") + EXTRA) / (F.col("n_g") + EXTRA * (F.col("v_g") + 1)))
         base = F.log10((F.col("c") + EXTRA) / (F.lit(float(self.n)) + EXTRA * (self.v + 1)))
         tails = met.groupBy("row").agg(F.sum(F.col("times") * base).alias("base"), F.sum(F.col("times") * inside).alias("inside"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
         got = heads.join(tails, "row", "left")
