@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, table, text_or_empty
+from .common import WORD, Scratch, listed, own_names, row_hash, table, text_or_empty
 
 #: Documents that meet in one fold, on average.
 FAN_IN = 64
@@ -62,14 +62,14 @@ def _pivot(seed: int, level: int) -> str:
     return f"aggregate(slice(items, 2, size(items)), named_struct('open', items[0], 'done', {none}), (x, d) -> {step})"
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[int, ...], most: float, seed: int, scratch: Scratch, whole_copies: bool = False) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weights: tuple[int, ...], most: float, seed: int, scratch: Scratch) -> DataFrame:
     """How often each row of `docs` (doc_id, text, source) is taken.
 
     Returns one row per row of docs: doc_id, source, key (a hash of the text), size,
     source_size, target, taken, copies. Sources with null names are one source. A document is
     taken floor or ceil of target / source_size times; of each source the one document that is
-    left open at the end is taken for its last fraction (taken counts the words of that), or,
-    with whole_copies, as a whole with that probability. Sizes of 0 are taken 0 times. Equal
+    left open at the end is taken as a whole with the probability that it is left with, so all
+    copies are whole ones. Sizes of 0 are taken 0 times. Equal
     rows (same id and text) are rounded together and then told apart by number, so the result
     is the same however the rows are spread.
     """
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...], most: float, se
     for d in done[1:]:
         out = out.unionByName(d)
     chance = (F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "item.doc_id", "item.key"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    part = F.when(F.col("p") > 1 - 1e-9, 1.0).when(F.col("p") < 1e-9, 0.0).otherwise((chance < F.col("p")).cast("double") if whole_copies else F.col("p"))
+    part = F.when(F.col("p") > 1 - 1e-9, 1.0).when(F.col("p") < 1e-9, 0.0).otherwise((chance < F.col("p")).cast("double"))
     out = out.select("item.*", part.alias("part")).withColumn("nth", F.explode(F.expr("sequence(1L, same)")))
     extra = F.when(F.col("nth") <= F.col("more"), 1.0).when(F.col("nth") == F.col("more") + 1, F.col("part")).otherwise(0.0)
     out = out.withColumn("copies", F.col("base") + extra)
@@ -118,13 +118,28 @@ def word_count(column: str = "text") -> Column:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...], most: float, seed: int, scratch: Scratch) -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as it is taken, all columns kept."""
-    plan = mix(docs, word_count(), weights, most, seed, scratch, whole_copies=True)
-    plan = scratch.put(plan.where("copies >= 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("nth").alias("_nth"), F.col("copies").cast("int").alias("_copies")), "plan")
-    same = Window.partitionBy("doc_id", "_hash", "source").orderBy(F.lit(0))
-    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty())).withColumn("_row", F.row_number().over(same))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_row") == F.col("_nth"))
-    return rows.join(plan, on).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(docs.columns)
+    """The mix itself: the rows of `docs`, each as often as it is taken, all columns kept. Which of
+    several rows with one id, source and text are taken goes by the hash of the row.
+
+    While the plan has no more than SMALL rows, texts are not shuffled."""
+    plan = mix(docs, word_count(), weights, most, seed, scratch)
+    plan = scratch.put(plan.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("source").alias("_source"), "nth", "copies"), "plan")
+    many = scratch.put(plan.where("nth > 1").select("_id", "_key", "_source").distinct(), "many")
+    plan = plan.where("copies >= 1").select("_id", "_key", "_source", F.col("nth").alias("_nth"), F.col("copies").cast("int").alias("_copies"))
+    key, nth, hash_, its, id_, source, no, copies, copy = own_names(docs, "key", "nth", "hash", "its", "id", "its_source", "no", "copies", "copy")
+    renamed = {"_id": id_, "_key": its, "_source": source, "_nth": no, "_copies": copies}
+    plan, many = (df.withColumnsRenamed(renamed) for df in (plan, many))
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(its)) & F.col("source").eqNullSafe(F.col(source))
+    rows = docs.withColumn(key, F.xxhash64(text_or_empty()))
+    if many.isEmpty():
+        got = rows.join(listed(plan), on)
+    else:  # only rows that share id, source and text are put in order
+        many = listed(many)
+        order = Window.partitionBy("doc_id", key, "source").orderBy(hash_)
+        some = rows.join(many, on, "left_semi").withColumn(hash_, row_hash(docs)).withColumn(nth, F.row_number().over(order)).drop(hash_)
+        rows = rows.join(many, on, "left_anti").withColumn(nth, F.lit(1)).unionByName(some)
+        got = rows.join(listed(plan), on & (F.col(nth) == F.col(no)))
+    return got.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
