@@ -47,22 +47,22 @@ class ChunkEncoder:
     """Byte-level BPE ids as 32-bit words, from what it remembers of space-separated chunks.
 
     A byte-level pre-tokenizer never merges across the start of " word", so in texts whose words
-    stand between single spaces or line feeds each chunk has ids of its own. Other texts are
-    encoded whole.
+    stand between single spaces or line feeds each chunk has ids of its own. Other texts, and those
+    that hold the string of an added token, are encoded whole.
     """
 
     def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = _Chunks(self.tokenizer, "", None, remembered // 4)
         self.spaced = _Chunks(self.tokenizer, " ", self.plain, remembered)
         self.line = self.plain["\n"]
 
     def encode(self, text: str) -> bytes:
         lines = [line.split(" ") for line in text.split("\n")]
-        if text.split() != [chunk for line in lines for chunk in line]:
+        if text.split() != [chunk for line in lines for chunk in line] or any(map(text.__contains__, self.added)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         plain, spaced = self.plain, self.spaced.__getitem__
         return self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in lines])
