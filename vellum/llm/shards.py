@@ -100,10 +100,13 @@ def communication_matrix(counts: DataFrame, capacity: str, seed: int, height: in
 def shuffle_into_shards(rows: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (gapless from 0) to `rows`.
 
-    Shard sizes differ by one at most; every arrangement is equally likely. All columns stay,
-    but names part, row, shard and slot are taken. Equal rows are separate rows. An empty table
-    gives no rows.
+    Shard sizes differ by one at most; every arrangement is equally likely. All columns stay; rows
+    that have a column shard or slot (in any case of letters) are refused. Nulls and long values
+    are only carried. Equal rows are separate rows. An empty table gives no rows.
     """
+    if taken := {c.lower() for c in rows.columns} & {"shard", "slot"}:
+        raise ValueError(f"the rows have columns of these names already: {sorted(taken)}")
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("held"))
     held = scratch.put(rows.withColumn("part", F.spark_partition_id().cast("long")).withColumn("row", F.monotonically_increasing_id()), "rows")
     sizes = scratch.put(held.groupBy("part").count(), "sizes")
     last, total = sizes.agg(F.max("part"), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -125,7 +128,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int, scratch: Scratc
     starts = dealt.groupBy("shard", "piece").count().select("shard", "piece", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "piece").orderBy("order", "row")
     placed = dealt.withColumn("nth", F.row_number().over(within) - 1).join(starts, ["shard", "piece"])
-    return placed.withColumn("slot", F.col("start") + F.col("nth")).drop("part", "row", "order", "piece", "start", "nth")
+    return placed.select("held.*", "shard", (F.col("start") + F.col("nth")).alias("slot"))
 
 
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
