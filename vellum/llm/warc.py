@@ -29,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Ranges that lie so near are read at once, up to so many bytes.
 GAP, BLOCK = 64 << 10, 8 << 20
+#: Bytes of the selected records that a task reads, about.
+READ = 8 << 20
 
 INDEX = "page_id long, row long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORDS = "page_id long, row long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -182,7 +184,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t.type) for i, t in enumerate(schema)], schema=schema)
                 at = to
 
-    sorted_index = index.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // READ)
+    sorted_index = index.repartitionByRange(max(1, tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return sorted_index.select("file", "offset", "length").mapInArrow(read, RECORDS)
 
 
