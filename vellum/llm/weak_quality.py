@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_or_empty
+from .common import Scratch, own_names, table, text_or_empty
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
@@ -31,6 +31,8 @@ INSULTS = frozenset(
     "idiot idiots moron morons stupid loser losers trash scum pathetic clown clowns disgusting worthless imbecile imbeciles "
     "dumb dumbass jerk vermin filth scumbag retard pig bitch bastard asshole".split()
 )
+#: Words in each of which distinct ones are counted; a last part of less than half of it isn't looked at.
+SPAN = 4_000
 _SYMBOLS = "#$%&*|<>{}[]=+~^_\\@!"
 _WORD = re.compile(r"[^\W_]+")
 REMEMBERED = 200_000
@@ -59,13 +61,14 @@ def _shares(text: str) -> dict[str, float]:
     if not n:
         return dict.fromkeys(("words", "symbols", "bars", "upper", "top", "distinct", "repeats"), 0.0)
     counts = Counter(words)
+    parts = [words[at : at + SPAN] for at in range(0, max(1, n - SPAN // 2), SPAN)]
     return {
         "words": float(n),
         "symbols": sum(map(text.count, _SYMBOLS)) / len(text),
         "bars": text.count("|") / n,
         "upper": sum(map(str.isupper, words)) / n,
         "top": max(counts.values()) / n,
-        "distinct": len(counts) / n,
+        "distinct": sum(len(set(p)) / len(p) for p in parts) / len(parts),  # the mean over spans: it would fall with length
         "repeats": sum(map(eq, words, words[1:])) / n,
     }
 
@@ -79,7 +82,7 @@ def quality_votes(s: dict[str, float]) -> list[int]:
         s["bars"] >= 0.05,
         s["upper"] >= 0.4 and n >= 10,
         s["top"] >= 0.3 and n >= 20,
-        s["distinct"] <= 0.2 and 40 <= n <= 4000,
+        s["distinct"] <= 0.2 and n >= 40,
         s["repeats"] >= 0.15 and n >= 10,
     ]
     prose = n > 0 and s["symbols"] <= 0.01 and s["bars"] == 0 and (n < 10 or s["upper"] <= 0.15 and s["repeats"] <= 0.05) and (n < 20 or s["top"] <= 0.2)
@@ -273,9 +276,10 @@ class QualityModel:
         used = np.frombuffer(got[0]["used"], np.int32)
         return used, np.frombuffer(got[0]["weights"], np.float32).reshape(2, len(used)), np.frombuffer(got[0]["bias"])
 
-    def scored(self, docs: DataFrame) -> DataFrame:
-        """All columns of docs, with p_low and p_toxic, the scorer's probabilities."""
+    def scored(self, docs: DataFrame, low: str = "p_low", toxic: str = "p_toxic") -> DataFrame:
+        """All columns of docs, with the scorer's probabilities under the two names."""
         (used, weights, bias), bits = self.linear, self.settings.bits
+        held = own_names(docs, "whole_text")[0]
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,15 +288,15 @@ class QualityModel:
             features = Features(bits, (linear.weights != 0).any(axis=0))
             for batch in batches:
                 p = np.zeros((batch.num_rows, 2))
-                for i, text in enumerate(batch["_text"]):
+                for i, text in enumerate(batch[held]):
                     text = text.as_py()
                     words, shares = _WORD.findall(text.lower()), _shares(text)
                     if shares["words"]:
                         p[i] = linear.score(features.of(words, shares, quality_votes(shares) + toxic_votes(words, None)))
-                kept = [c for c in batch.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*kept, "_p_low", "_p_toxic"])
+                kept = [c for c in batch.schema.names if c != held]
+                yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*kept, low, toxic])
 
-        return docs.withColumn("_text", text_or_empty()).mapInArrow(score, f"{kinds}, _p_low double, _p_toxic double")
+        return docs.withColumn(held, text_or_empty()).mapInArrow(score, f"{kinds}, `{low}` double, `{toxic}` double")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -302,13 +306,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs that the scorer finds neither low in quality nor toxic."""
-    scored = QualityModel(docs, labels, scratch).scored(docs)
-    return scored.where("_p_low < 0.5 and _p_toxic < 0.5").select(docs.columns)
+    low, toxic = own_names(docs, "p_low", "p_toxic")
+    scored = QualityModel(docs, labels, scratch).scored(docs, low, toxic)
+    return scored.where((F.col(low) < 0.5) & (F.col(toxic) < 0.5)).select(docs.columns)
 
 
 def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = QualityModel(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op10"))
-    low, toxic = F.col("_p_low") >= 0.5, F.col("_p_toxic") >= 0.5
+    low, toxic = F.col("p_low") >= 0.5, F.col("p_toxic") >= 0.5
     got = model.scored(docs.select("doc_id", "text"))
-    return got.select("doc_id", F.col("_p_low").alias("p_low"), F.col("_p_toxic").alias("p_toxic"), low.alias("low_quality"), toxic.alias("toxic"), (~low & ~toxic).alias("kept"))
+    return got.select("doc_id", "p_low", "p_toxic", low.alias("low_quality"), toxic.alias("toxic"), (~low & ~toxic).alias("kept"))
