@@ -1,12 +1,13 @@
 """Exact and near duplicates, and components, against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import near_dedup
+from vellum.llm import common, digest_dedup, near_dedup
 from vellum.llm.common import Scratch
 from vellum.llm.components import connected_components
 from vellum.llm.digest_dedup import DigestIndex, dedup_documents, exact_dedup
@@ -39,6 +40,41 @@ def test_index_persists(spark):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # the index isn't shuffled
 
 
+def test_documents_by_every_way(spark, monkeypatch):
+    """Hot digests, many groups, an index of earlier batches, clashing names, and repeated rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(60)]), rng.choice(["hot", "hot", "a  b", "a\tb", None, "", *(f"t{i}" for i in range(30))]), f"s{rng.randrange(3)}", i % 2, 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, n long, Who int")
+    text = lambda t: " ".join((t or "").split()) if t else ""
+    best = {}
+    for r in rows:
+        best.setdefault(text(r[1]), []).append((r[0] is None, r[0] or 0))
+    results = []
+    for small, hot in ((250_000, 1000), (0, 1000), (0, 5)):
+        monkeypatch.setattr(digest_dedup, "SMALL", small)
+        monkeypatch.setattr(common, "HOT", hot)
+        for parts in (2, 5):
+            got = dedup_documents(df.repartition(parts), Scratch(spark, "t"))
+            assert got.columns == df.columns
+            results.append(sorted(map(str, got.collect())))
+        told = exact_dedup(df, Scratch(spark, "t")).collect()
+        assert len(told) == 300 and sum(r.kept for r in told) == len(best) and all(r.group_size == len(best[t]) for t in best for r in told if r.text_sha256 == hashlib.sha256(t.encode()).hexdigest())
+    assert all(r == results[0] for r in results) and len(results[0]) == len(best)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(min(b) for b in best.values())
+    scratch = Scratch(spark, "t")
+    index = DigestIndex(spark, scratch.path("index"), 4)
+    assert dedup_documents(df.where("n = 0"), scratch, index, "one").count() + dedup_documents(df.where("n = 1"), scratch, index, "two").count() == len(best)
+    index.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name == index.name]
+
+
+def test_long_texts(spark):
+    long = "word " * 400_000
+    df = spark.createDataFrame([(2, long), (1, long.replace(" ", "\n ")), (3, "x" * 2_000_000)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dedup_documents(df, Scratch(spark, "t")).select("doc_id").collect()) == [1, 3]
+    assert sorted(r.doc_id for r in near_dedup_documents(df, Scratch(spark, "t")).select("doc_id").collect()) == [1, 3]
+
+
 def components(n, edges):
     root = list(range(n))
 
@@ -105,9 +141,10 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("k, num, den", [(3, 85, 100), (5, 4, 5)])
-def test_near_duplicates(spark, monkeypatch, k, num, den):
+@pytest.mark.parametrize("k, num, den, hot", [(3, 85, 100, 1000), (5, 4, 5, 2)])
+def test_near_duplicates(spark, monkeypatch, k, num, den, hot):
     monkeypatch.setattr(near_dedup, "MEMBERS", 32)
+    monkeypatch.setattr(common, "HOT", hot)
     docs = corpus(k)
     sets, linked = brute(docs, k, num, den)
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -121,7 +158,7 @@ def test_near_edge_cases(spark):
     df = spark.createDataFrame([(None, "p q r s t u"), (4, "p q r s t u"), (4, "p q r s t u"), (8, None), (9, ""), (None, "w"), (None, None)], "doc_id long, text string")
     got = NearDuplicates(df, Scratch(spark, "t"), 3, 85, 100).run().rows().collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.n) for r in got) == sorted([("None", "4", 4), ("4", "4", 4), ("4", "4", 4), ("8", "8", 0), ("9", "9", 0), ("None", "None", 1), ("None", "None", 0)])
-    extra = df.selectExpr("*", "1 AS root", "'x' AS text_key", "2 AS component_id")
+    extra = df.selectExpr("*", "1 AS root", "'x' AS text_key", "2 AS component_id", "3 AS id", "4 AS Nth")
     kept = near_dedup_documents(extra, Scratch(spark, "t"))
     assert kept.columns == extra.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "8", "9", "None", "None"]
     assert near_dedup_documents(extra.limit(0), Scratch(spark, "t")).count() == 0
