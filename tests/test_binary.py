@@ -67,7 +67,7 @@ u32 = lambda v: struct.pack("<I", v)
 @pytest.mark.parametrize(
     "data, background, template",
     [
-        (page(0x1A8, 1527, 0, (0xA4, h("DDDDF5FF"))), (0xF5, 0xDD, 0xDD), None),
+        (page(0xA8, 1527, 0, (0xA4, h("DDDDF5FF"))), (0xF5, 0xDD, 0xDD), None),
         (page(0x200, 1527, 0xE7, (0xA4, h("DDDACBFF")), (0xAC, u32(1))), (0xCB, 0xDA, 0xDD), (1, "BuiltIn", None)),
         (page(0x200, 1527, 0x90, (0x84, h("DDDACBFF")), (0x8C, u32(10))), (0xCB, 0xDA, 0xDD), (10, "BuiltIn", None)),
         (page(0x200, 1528, 0xA6, (0x80, h("DDDACBFF")), (0x8C, u32(3 << 16))), (0xCB, 0xDA, 0xDD), (3, "CustomPdf", 3)),

@@ -89,7 +89,7 @@ def test_files_are_pruned(spark, tmp_path):
 def test_hex_dump_is_whole(spark):
     """All bytes of all pages come back from the rows."""
     rows = {}
-    for r in Q.QUERIES["hex_dump_whole"](spark, SF).collect():
+    for r in Q.QUERIES["hex_dump"](spark, SF).collect():
         rows.setdefault(r.page_id, {})[r.row] = bytes.fromhex(r.text[10:57])
     pages = {r.page_id: r.html.encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html}
     assert {i: b"".join(x[n] for n in sorted(x)) for i, x in rows.items()} == pages and max(map(len, pages.values())) > 64
@@ -108,13 +108,13 @@ def test_rotation_of_every_stroke(spark):
             if math.hypot(x1 - x, y1 - y) > 40 and 5 < abs(turn) < 85:
                 want[key] = (i, round(turn, 6))
                 break
-    got = {(r.user_id, r.stroke): (r.i, r.degrees) for r in Q.QUERIES["rotation_degrees_whole"](spark, SF).collect()}
+    got = {(r.user_id, r.stroke): (r.i, r.degrees) for r in Q.QUERIES["rotation_degrees"](spark, SF).collect()}
     assert got == want and any(stroke > 0 for _, stroke in got)
 
 
 def test_every_id_is_matched(spark):
     documents = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    got = {r.doc_id: r.matches for r in Q.QUERIES["id_match_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.matches for r in Q.QUERIES["id_match"](spark, SF).collect()}
     assert got == {i: i in documents and i in labels for i in documents | labels}
     assert any(m for i, m in got.items() if i % 2) and not all(got.values())

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from ..functions import binary as B
 
@@ -61,7 +60,8 @@ def _decode(df: DataFrame, ddl: str, rows_of: Callable[..., Iterator[tuple]], at
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            # blobs become Python objects one at a time
+            for row in zip(*((v.as_py() for v in c) if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns)):
                 for r in rows_of(*row):
                     held.append(r)
                     if len(held) >= at_once:
@@ -78,8 +78,7 @@ def _decode(df: DataFrame, ddl: str, rows_of: Callable[..., Iterator[tuple]], at
 
 def page_entries(entries: DataFrame) -> DataFrame:
     """path, page_ordinal, name, data, error of the page entries, numbered in archive order."""
-    order = Window.partitionBy("path").orderBy("entry_ordinal")
-    return entries.where(F.col("name").endswith(".page")).select("path", (F.row_number().over(order) - 1).alias("page_ordinal"), "name", "data", "error")
+    return entries.where("page_ordinal IS NOT NULL").select("path", "page_ordinal", "name", "data", "error")
 
 
 def pages(entries: DataFrame) -> DataFrame:
@@ -196,8 +195,8 @@ def documents(entries: DataFrame) -> DataFrame:
     """One row per container, with its metadata, number of pages, and first error. A container
     without pages has one: the format requires a page."""
     per = entries.groupBy("path").agg(
-        F.count_if(F.col("name").endswith(".page")).cast("int").alias("n_pages"),
-        F.count_if(F.col("name").startswith("media/") & F.col("name").rlike(r"(?i)\.(jpg|jpeg|png|webp)$")).cast("int").alias("n_media"),
+        F.count("page_ordinal").cast("int").alias("n_pages"),
+        F.count("media_index").cast("int").alias("n_media"),
         F.min("error").alias("entry_error"),
     )
     broken = pages(entries).where("error IS NOT NULL").groupBy("path").agg(F.min_by("error", "page_ordinal").alias("page_error"))
@@ -206,13 +205,6 @@ def documents(entries: DataFrame) -> DataFrame:
     return got.withColumn("page_ids", F.coalesce("page_ids", F.array().cast("array<string>"))).withColumn("error", F.coalesce("entry_error", none, "page_error")).drop("entry_error", "page_error")
 
 
-def media_order(name: str | Column = "name") -> Column:
-    """The number before @ in the file's name; names without one come last."""
-    number = F.regexp_extract(F.substring_index(F.col(name) if isinstance(name, str) else name, "/", -1), r"^\+?([0-9]+)@", 1)
-    whole = F.try_to_number(F.nullif(number, F.lit("")), F.lit("9" * 38)).cast("decimal(38,0)")
-    return F.when(whole <= F.lit("18446744073709551615").cast("decimal(38,0)"), whole)
-
-
 def mime_type(name: str | Column = "name") -> Column:
     low = F.lower(F.col(name) if isinstance(name, str) else name)
     return F.when(low.endswith(".png"), "image/png").when(low.endswith(".webp"), "image/webp").otherwise("image/jpeg")
@@ -220,9 +212,13 @@ def mime_type(name: str | Column = "name") -> Column:
 
 def media(entries: DataFrame) -> DataFrame:
     """Images in the order of the numbers in their names, ties in archive order."""
-    images = entries.where(F.col("name").startswith("media/") & F.col("name").rlike(r"(?i)\.(jpg|jpeg|png|webp)$"))
-    order = Window.partitionBy("path").orderBy(media_order().asc_nulls_last(), "entry_ordinal")
-    return images.select("path", (F.row_number().over(order) - 1).alias("media_index"), "name", mime_type().alias("mime_type"), "data")
+    return entries.where("media_index IS NOT NULL").select("path", "media_index", "name", mime_type().alias("mime_type"), "data")
+
+
+def preview(pages: DataFrame, strokes: DataFrame, most: int = 5) -> DataFrame:
+    """The first strokes of each note's first page."""
+    first = pages.where("error IS NULL").groupBy("path").agg(F.min("page_ordinal").alias("page_ordinal"))
+    return strokes.where(F.col("stroke_ordinal") < most).join(first, ["path", "page_ordinal"], "left_semi")
 
 
 def fail_on_errors(rows: DataFrame) -> DataFrame:

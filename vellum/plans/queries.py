@@ -8,7 +8,9 @@ of a round trip through encoded containers reads the source rows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,11 +81,6 @@ def little_endian_read(spark, d):
     return load(spark, d, "documents").select("doc_id", C.little_endian(h, 0, 2).alias("u16"), C.little_endian(h, 4, 4).alias("u32"), C.little_endian(h, 14, 4).alias("beyond"))
 
 
-@query("""SELECT page_id, CASE WHEN strpos(h, '00') = 0 THEN -1 ELSE strpos(h, '00') - 1 END AS first_at FROM (SELECT page_id, md5(CAST(page_id AS VARCHAR)) AS h FROM pages) p""")
-def first_marker(spark, d):
-    return load(spark, d, "pages").select("page_id", (F.locate("00", md5_hex("page_id")) - 1).cast("bigint").alias("first_at"))
-
-
 @query("""SELECT page_id, CASE WHEN strpos(html, '<p>') = 0 THEN NULL ELSE CAST(length(html) - strpos(reverse(html), '>p<') - 2 AS BIGINT) END AS last_at,
   CAST((length(html) - length(replace(html, '<p>', ''))) // 3 AS BIGINT) AS found FROM pages""")
 def last_marker(spark, d):
@@ -92,41 +89,17 @@ def last_marker(spark, d):
     return load(spark, d, "pages").select("page_id", F.when(html.contains("<p>"), at.cast("bigint")).alias("last_at"), count.cast("bigint").alias("found"))
 
 
-@query("""SELECT page_id, CAST(i AS INTEGER) AS row, lower(hex(encode(substr(html, CAST(16 * i + 1 AS INTEGER), 16)))) AS bytes
-  FROM (SELECT page_id, substr(regexp_replace(html, '[^\\x20-\\x7e]', '', 'g'), 1, 64) AS html FROM pages) p, (SELECT unnest(range(0, 4)) AS i) n WHERE length(html) > 16 * i""")
-def hex_dump(spark, d):
-    """The first four rows, as of a dump with a limit of 64 bytes."""
-    part = load(spark, d, "pages").select("page_id", F.substring(F.regexp_replace("html", r"[^\x20-\x7e]", ""), 1, 64).alias("t"))
-    rows = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 16).cast("int")), lambda i: F.lower(F.hex(F.substring(F.col("t"), 16 * i + 1, F.lit(16)))))
-    return part.where("length(t) > 0").select("page_id", F.posexplode(rows).alias("row", "bytes"))
-
-
 @query("""SELECT page_id, CAST(i AS INTEGER) AS row,
   printf('%08x', 16 * i) || '  ' || rpad(rtrim(regexp_replace(substr(h, CAST(32 * i + 1 AS INTEGER), 32), '(..)', '\\1 ', 'g')), 47, ' ') || '  ' || substr(t, CAST(16 * i + 1 AS INTEGER), 16) AS text
   FROM (SELECT page_id, h, unnest(range(0, CAST(ceil(length(h) / 32.0) AS BIGINT))) AS i,
     replace(regexp_replace(replace(replace(b, '\\x22', chr(34)), '\\x27', chr(39)), '\\\\x([0-46-9A-F].|5[0-9ABD-F])', '.', 'g'), '\\x5C', '\\') AS t
     FROM (SELECT page_id, lower(hex(encode(html))) AS h, CAST(encode(html) AS VARCHAR) AS b FROM pages) p) r""")
-def hex_dump_whole(spark, d):
+def hex_dump(spark, d):
     """Every row of every page's bytes, by the operator; its limit stays an option."""
     data = load(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("name"), F.encode("html", "UTF-8").alias("data"))
     return notes.hex_rows(data).select(F.col("path").cast("bigint").alias("page_id"), "row", "text")
 
 
-@query("""SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'html' WHEN starts_with(html, '%PDF') THEN 'pdf' ELSE 'other' END AS kind,
-  upper(hex(encode(substr(regexp_replace(html, '[^\\x20-\\x7e]', '', 'g'), 1, 4)))) AS magic FROM pages""")
-def magic_sniff(spark, d):
-    html = F.col("html")
-    kind = F.when(html.startswith("<!DOCTYPE"), "html").when(html.startswith("%PDF"), "pdf").otherwise("other")
-    return load(spark, d, "pages").select("page_id", kind.alias("kind"), F.hex(F.substring(F.regexp_replace(html, r"[^\x20-\x7e]", ""), 1, 4)).alias("magic"))
-
-
-@query("""SELECT doc_id, CAST(i AS INTEGER) AS i, s FROM (
-  SELECT doc_id, unnest(range(0, len(f))) AS i, unnest(f) AS s FROM (SELECT doc_id, regexp_extract_all(text, '[\\x21-\\x7e]{12,}') AS f FROM documents WHERE text IS NOT NULL) d) e""")
-def ascii_strings(spark, d):
-    """Printable runs of at least twelve characters."""
-    return load(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([\x21-\x7e]{12,})"), 1)).alias("i", "s"))
-
-
 @query("""SELECT doc_id, regexp_matches(u, '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') AS is_uuid, regexp_matches(replace(u, '-', 'x'), '^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$') AS without FROM (
   SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents) a) b""")
 def uuid_predicate(spark, d):
@@ -201,32 +174,16 @@ def channel_ranges(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.array_min("embedding").cast("double").alias("least"), F.array_max("embedding").cast("double").alias("greatest"))
 
 
-@query(f"""WITH {INK}, p AS (SELECT user_id, stroke, sum(dx / 32.0::DOUBLE) {RUN} AS x FROM ink)
-SELECT user_id, stroke, min(x) AS x_min, max(x) AS x_max, min(x) >= -8 AND max(x) <= 8 AS matches FROM p GROUP BY user_id, stroke""")
-def bbox_check(spark, d):
-    p = ink(spark, d).select(*STROKE, C.running(F.col("dx") / 32.0, STROKE, PLACE).alias("x"))
-    return p.groupBy(*STROKE).agg(F.min("x").alias("x_min"), F.max("x").alias("x_max")).withColumn("matches", (F.col("x_min") >= -8) & (F.col("x_max") <= 8))
-
-
 @query("SELECT vec_id, CAST(i AS INTEGER) AS point_ordinal, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) e")
 def points_explode(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("point_ordinal", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query(f"""WITH {INK} SELECT user_id, CAST(i AS BIGINT) AS i, degrees FROM (
-  SELECT user_id, i, round(degrees(atan2(k - 50, dx)), 6) AS degrees, sqrt(CAST(dx * dx + (k - 50) * (k - 50) AS DOUBLE)) AS far FROM ink WHERE stroke = 0) q
-  WHERE far > 40 AND abs(degrees) > 5 AND abs(degrees) < 85""")
-def rotation_degrees(spark, d):
-    """Steps of each note's first stroke that would turn a text box."""
-    got = ink(spark, d).where("stroke = 0").select("user_id", "i", F.round(C.rotation_degrees(F.col("dx").cast("double"), (F.col("k") - 50).cast("double")), 6).alias("degrees"))
-    return got.where("degrees IS NOT NULL")
-
-
 @query(f"""WITH {INK}, p AS (SELECT user_id, stroke, i, CAST(sum(dx) {RUN} AS BIGINT) AS x, CAST(sum(k - 50) {RUN} AS BIGINT) AS y FROM ink),
   q AS (SELECT user_id, stroke, i, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY user_id, stroke ORDER BY i)),
   m AS (SELECT user_id, stroke, i, degrees(atan2(dy, dx)) AS turn FROM q WHERE sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) > 40)
 SELECT user_id, stroke, min(i) AS i, round(arg_min(turn, i), 6) AS degrees FROM m WHERE abs(turn) > 5 AND abs(turn) < 85 GROUP BY user_id, stroke""")
-def rotation_degrees_whole(spark, d):
+def rotation_degrees(spark, d):
     """The turn of every stroke: the first pair of successive points that shows one."""
     order = Window.partitionBy(*STROKE).orderBy("i")
     p = ink(spark, d).select(*STROKE, "i", C.running(F.col("dx"), STROKE, PLACE).alias("x"), C.running(F.col("k") - 50, STROKE, PLACE).alias("y"))
@@ -322,11 +279,6 @@ TEMPLATES = """t AS (SELECT p_partkey, CASE WHEN custom THEN field >> 16 WHEN fi
   SELECT p_partkey, p_partkey % 3 = 1 AS custom, CASE WHEN p_size > 40 THEN p_partkey * 65536 + 7 ELSE CAST(p_size AS BIGINT) END AS field FROM part) p)"""
 
 
-@query(f"WITH {TEMPLATES} SELECT p_partkey, id, CASE WHEN id IS NULL THEN NULL WHEN custom THEN 'CustomPdf' ELSE 'BuiltIn' END AS source, CASE WHEN custom THEN id END AS page_index FROM t")
-def template_decode(spark, d):
-    return _templates(spark, d).select("p_partkey", "t.id", "t.source", "t.page_index")
-
-
 @query(f"WITH {TEMPLATES} SELECT p_partkey, CASE WHEN custom THEN 'custom PDF page ' || (id + 1) WHEN id IS NOT NULL THEN 'built-in ' || id ELSE 'none' END AS label FROM t")
 def template_label(spark, d):
     return _templates(spark, d).select("p_partkey", F.coalesce(C.template_label(F.col("t")), F.lit("none")).alias("label"))
@@ -422,26 +374,11 @@ def _names(spark, d):
     return load(spark, d, "pages").select("page_id", F.expr("page_id div 20").alias("note"), F.concat(stem, ending).alias("name"))
 
 
-@query(f"WITH {NAMES} SELECT page_id, note, CAST(row_number() OVER (PARTITION BY note ORDER BY TRY_CAST(regexp_extract(name, '/([0-9]+)@', 1) AS BIGINT) NULLS LAST, page_id) - 1 AS INTEGER) AS media_index FROM names")
-def media_sort(spark, d):
-    order = Window.partitionBy("note").orderBy(notes.media_order().asc_nulls_last(), "page_id")
-    return _names(spark, d).select("page_id", "note", (F.row_number().over(order) - 1).alias("media_index"))
-
-
 @query(f"WITH {NAMES} SELECT page_id, CASE WHEN lower(name) LIKE '%.png' THEN 'image/png' WHEN lower(name) LIKE '%.webp' THEN 'image/webp' ELSE 'image/jpeg' END AS mime_type FROM names")
 def mime_type(spark, d):
     return _names(spark, d).select("page_id", notes.mime_type().alias("mime_type"))
 
 
-@query("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS element_ordinal, false AS body FROM conversations
-UNION ALL SELECT conv_id, NULL, count(*), true FROM conversations GROUP BY conv_id""")
-def note_text_append(spark, d):
-    """A last element after each conversation's turns."""
-    c = load(spark, d, "conversations")
-    turns = c.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("bigint").alias("element_ordinal"), F.lit(False).alias("body"))
-    return turns.unionByName(c.groupBy("conv_id").agg(F.count("*").alias("element_ordinal")).select("conv_id", F.lit(None).cast("bigint").alias("turn"), "element_ordinal", F.lit(True).alias("body")))
-
-
 @query("""SELECT conv_id, string_agg(role || turn, ' ' ORDER BY z, turn) AS drawn FROM (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS z FROM conversations) c GROUP BY conv_id""")
 def draw_order(spark, d):
     c = load(spark, d, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "user", 0).otherwise(1).alias("z"))
@@ -449,16 +386,8 @@ def draw_order(spark, d):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "turn", part.alias("s")))), lambda x: x["s"]), " ").alias("drawn"))
 
 
-@query("""SELECT l.doc_id, l.quality, d.doc_id IS NOT NULL AS matches FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d ON l.doc_id = d.doc_id""")
-def id_match(spark, d):
-    """Registry ids that an entry answers to."""
-    even = load(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("entry"))
-    labels = load(spark, d, "labels")
-    return labels.join(even, labels.doc_id == F.col("entry"), "left").select("doc_id", "quality", F.col("entry").isNotNull().alias("matches"))
-
-
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, l.quality, d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL AS matches FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
-def id_match_whole(spark, d):
+def id_match(spark, d):
     """All entries and all registry ids: which of them have a counterpart."""
     documents = load(spark, d, "documents").select(F.col("doc_id").alias("entry"))
     labels = load(spark, d, "labels").select(F.col("doc_id").alias("label"), "quality")
@@ -489,7 +418,9 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     later = s[1:]
                     channels = [[r["k"] for r in later], [r["k"] % 7 for r in later], [r["k"] % 5 - 2 for r in later], [2 - r["k"] % 3 for r in later]]
                     colour = None if s[0]["event_type"] == "view" else (len(s[0]["event_type"]), 20, 30)
-                    drawn.append(E.Stroke((float(number % 1000), 100.0), [(r["dx"], r["k"]) for r in later], channels, colour=colour, layout="shifted" if number % 2 else "current"))
+                    xs, ys = ([at + v / 32 for v in accumulate((r[c] for r in later), initial=0)] for at, c in ((float(number % 1000), "dx"), (100.0, "k")))
+                    box = (min(xs), min(ys), max(xs), max(ys)) if number % 2 else (0.0, 0.0, 1.0, 1.0)
+                    drawn.append(E.Stroke((float(number % 1000), 100.0), [(r["dx"], r["k"]) for r in later], channels, box=box, colour=colour, layout="shifted" if number % 2 else "current"))
                 page = E.Page(uuid=f"{user}-{note}", strokes=drawn, background=(user % 256, 1, 2))
                 paths.append(f"{user}-{note}")
                 blobs.append(E.note([page], created=user * 1000, modified=note, flags=0x0800 * (user % 2), width=1080, height=1000 + user % 100))
@@ -506,20 +437,20 @@ PATH = f"CAST(user_id AS VARCHAR) || '-' || CAST(stroke // {NOTE_STROKES} AS VAR
 SELECT path, CAST(stroke_ordinal AS INTEGER) AS stroke_ordinal, CAST(i AS INTEGER) AS point_ordinal, sum(sx) {RUN} AS x, sum(sy) {RUN} AS y,
   CASE WHEN i > 0 THEN least(sum(sk) {RUN} / 1400.0::DOUBLE, 1.0::DOUBLE) END AS pressure, CASE WHEN i > 0 THEN CAST(sum(sk % 7) {RUN} AS BIGINT) END AS t FROM p""")
 def container_roundtrip_points(spark, d):
-    return notes.points(notes.strokes(entries_of(containers(spark, d)))).select("path", "stroke_ordinal", "point_ordinal", "x", "y", "pressure", "t")
+    return notes.points(notes.strokes(entries_of(containers(spark, d), ("pages",)))).select("path", "stroke_ordinal", "point_ordinal", "x", "y", "pressure", "t")
 
 
 @query(f"""WITH {INK}, s AS (SELECT {PATH} AS path, stroke, count(*) AS n, max(CASE WHEN i = 0 THEN event_type END) AS first FROM ink GROUP BY user_id, stroke)
 SELECT path, 1080::BIGINT AS width, count(*) AS strokes, CAST(sum(n) AS BIGINT) AS points, count(DISTINCT CASE WHEN first = 'view' THEN 0 ELSE length(first) END) AS colors, count(*) FILTER (WHERE n > 1) AS with_pressure FROM s GROUP BY path""")
 def container_roundtrip_summary(spark, d):
-    entries = entries_of(containers(spark, d))
+    entries = entries_of(containers(spark, d), ("pages",))
     return summary.page_summary(notes.pages(entries), notes.stroke_facts(entries)).select("path", "width", "strokes", "points", "colors", "with_pressure")
 
 
 @query(f"""WITH {INK} SELECT path, user_id * 1000 AS created_ms, note AS modified_ms, user_id % 2 = 1 AS dark_mode, 1080::BIGINT AS page_width, 1000 + user_id % 100 AS page_height, 1 AS n_pages, path AS page_id
 FROM (SELECT DISTINCT user_id, stroke // {NOTE_STROKES} AS note, {PATH} AS path FROM ink) q""")
 def container_metadata(spark, d):
-    got = notes.documents(entries_of(containers(spark, d)))
+    got = notes.documents(entries_of(containers(spark, d), ("pages", "meta")))
     return got.select("path", "created_ms", "modified_ms", "dark_mode", "page_width", "page_height", "n_pages", F.get("page_ids", F.lit(0)).alias("page_id"))
 
 
@@ -551,11 +482,40 @@ def _svgs(spark, d):
     return render.page_svg(notes.pages(e), notes.documents(e), notes.strokes(e), notes.elements(e), notes.media(e))
 
 
-@query()
+@query(f"""WITH {INK}, p AS (SELECT *, count(*) OVER (PARTITION BY user_id, stroke) AS n, max(CASE WHEN i = 0 THEN event_type END) OVER (PARTITION BY user_id, stroke) AS first,
+    stroke % 1000 + sum(CASE WHEN i = 0 THEN 0 ELSE dx / 32.0::DOUBLE END) {RUN} AS x, 100 + sum(CASE WHEN i = 0 THEN 0 ELSE k / 32.0::DOUBLE END) {RUN} AS y,
+    least(sum(CASE WHEN i = 0 THEN 0 ELSE k END) {RUN} / 1400.0::DOUBLE, 1.0::DOUBLE) AS pressure FROM ink),
+  q AS (SELECT *, lag(x) OVER w AS x1, lag(y) OVER w AS y1, max(CASE WHEN i > 0 THEN pressure END) OVER (PARTITION BY user_id, stroke) > 0.01 AS pressed,
+    CASE WHEN first = 'view' THEN CASE WHEN user_id % 2 = 1 THEN '#ffffff' ELSE '#1a1a1a' END ELSE printf('#%02x141e', length(first)) END AS ink FROM p WINDOW w AS (PARTITION BY user_id, stroke ORDER BY i)),
+  s AS (SELECT user_id, stroke, CASE WHEN any_value(n) = 1 THEN ''
+    WHEN any_value(pressed) THEN string_agg('  <line x1="' || printf('%.2f', x1) || '" y1="' || printf('%.2f', y1) || '" x2="' || printf('%.2f', x) || '" y2="' || printf('%.2f', y) || '" stroke="' || ink || '" stroke-width="'
+      || printf('%.2f', 0.8::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * greatest(pressure, 0.05::DOUBLE))) || '" stroke-linecap="round"/>' || chr(10), '' ORDER BY i) FILTER (WHERE i > 0)
+    ELSE '  <polyline points="' || string_agg(printf('%.2f', x) || ',' || printf('%.2f', y), ' ' ORDER BY i) || '" fill="none" stroke="' || any_value(ink) || '" stroke-width="0.80" stroke-linecap="round" stroke-linejoin="round"/>' || chr(10) END AS body
+    FROM q GROUP BY user_id, stroke)
+SELECT {PATH} AS path, 0 AS page_ordinal, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0.0 0.0 1080.0 1527.0" width="1080" height="1527">' || chr(10) || '  <rect x="0" y="0" width="1080" height="1527" fill="'
+  || printf('#%02x0102', any_value(user_id) % 256) || '"/>' || chr(10) || string_agg(body, '' ORDER BY stroke) || '</svg>' || chr(10) AS svg FROM s GROUP BY 1""")
 def svg_page(spark, d):
     return _svgs(spark, d)
 
 
+@query(f"""WITH {INK}, p AS (SELECT {PATH} AS path, stroke % {NOTE_STROKES} AS stroke_ordinal, stroke, i, stroke % 1000 + sum(CASE WHEN i = 0 THEN 0 ELSE dx / 32.0::DOUBLE END) {RUN} AS x,
+  100 + sum(CASE WHEN i = 0 THEN 0 ELSE k / 32.0::DOUBLE END) {RUN} AS y FROM ink)
+SELECT path, CAST(stroke_ordinal AS INTEGER) AS stroke_ordinal, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max,
+  stroke % 2 = 1 OR (min(x) = 0 AND min(y) = 0 AND max(x) = 1 AND max(y) = 1) AS matches FROM p GROUP BY path, stroke_ordinal, stroke""")
+def container_bbox_check(spark, d):
+    """Boxes of odd strokes are their points' extent, those of even ones aren't."""
+    got = notes.bbox_check(notes.strokes(entries_of(containers(spark, d), ("pages",))))
+    return got.select("path", "stroke_ordinal", "x_min", "x_max", "y_min", "y_max", "matches")
+
+
+@query(f"""WITH {INK}, p AS (SELECT user_id, stroke, {PATH} AS path, stroke % {NOTE_STROKES} AS stroke_ordinal, count(*) AS points FROM ink GROUP BY user_id, stroke)
+SELECT path, CAST(stroke_ordinal AS INTEGER) AS stroke_ordinal, points FROM p WHERE stroke_ordinal < 5""")
+def container_preview(spark, d):
+    """The preview of each note: its first five strokes, whole."""
+    entries = entries_of(containers(spark, d), ("pages",))
+    return notes.preview(notes.pages(entries), notes.strokes(entries)).select("path", "stroke_ordinal", F.size("points").cast("bigint").alias("points"))
+
+
 @query()
 def png_page(spark, d):
     return raster.page_png(_svgs(spark, d))
@@ -601,7 +561,7 @@ def json_facts(spark, d):
 @query(f"""WITH {INK} SELECT path, event_type, n FROM (SELECT {PATH} AS path, CASE WHEN event_type = 'view' THEN '(default)' ELSE printf('#%02x141e', length(event_type)) END AS event_type, count(*) AS n
   FROM ink WHERE i = 0 GROUP BY ALL) q""")
 def container_colors(spark, d):
-    facts = notes.stroke_facts(entries_of(containers(spark, d)))
+    facts = notes.stroke_facts(entries_of(containers(spark, d), ("pages",)))
     return summary.color_distribution(facts).select("path", F.col("color_hex").alias("event_type"), F.col("strokes").alias("n"))
 
 
@@ -609,7 +569,7 @@ def container_colors(spark, d):
 c AS (SELECT path, stroke_ordinal, sum(k % 7) {RUN} AS t, sum(k % 5 - 2) {RUN} AS x, i FROM p)
 SELECT path, CAST(stroke_ordinal AS INTEGER) AS stroke_ordinal, CAST(min(t) AS BIGINT) AS t_min, CAST(max(t) AS BIGINT) AS t_max, CAST(min(x) AS BIGINT) AS x_min, CAST(max(x) AS BIGINT) AS x_max FROM c GROUP BY path, stroke_ordinal""")
 def container_channel_ranges(spark, d):
-    got = summary.channel_ranges(notes.strokes(entries_of(containers(spark, d))))
+    got = summary.channel_ranges(notes.strokes(entries_of(containers(spark, d), ("pages",))))
     return got.select("path", "stroke_ordinal", F.col("timestamps_min").alias("t_min"), F.col("timestamps_max").alias("t_max"), F.col("tilt_x_min").alias("x_min"), F.col("tilt_x_max").alias("x_max"))
 
 
@@ -617,7 +577,7 @@ def container_channel_ranges(spark, d):
   SELECT user_id, stroke, count(*) AS n, max(CASE WHEN i = 0 THEN event_type END) AS first FROM ink GROUP BY user_id, stroke) q GROUP BY path)
 SELECT path, strokes AS declared, strokes AS decoded, points, with_color FROM s""")
 def container_coverage(spark, d):
-    entries = entries_of(containers(spark, d))
+    entries = entries_of(containers(spark, d), ("pages",))
     return summary.coverage(notes.pages(entries), notes.stroke_facts(entries)).select("path", "declared", "decoded", "points", "with_color")
 
 
@@ -643,7 +603,7 @@ MEDIA = f"""{NAMES}, m AS (SELECT CAST(n.note AS VARCHAR) AS path, n.name, p.htm
 
 @query(f"WITH {MEDIA} SELECT path, CAST(media_index AS INTEGER) AS media_index, name, sha256(html) AS sha FROM m")
 def container_media(spark, d):
-    return notes.media(entries_of(media_notes(spark, d))).select("path", "media_index", "name", F.sha2("data", 256).alias("sha"))
+    return notes.media(entries_of(media_notes(spark, d), ("media",))).select("path", "media_index", "name", F.sha2("data", 256).alias("sha"))
 
 
 @query(f"WITH {MEDIA} SELECT path, CAST(media_index AS INTEGER) AS element_ordinal, name FROM m WHERE media_index < 2")
@@ -652,3 +612,137 @@ def container_images(spark, d):
     entries = entries_of(media_notes(spark, d))
     placed = notes.elements(entries).where("kind = 'image'").join(notes.media(entries), ["path", "media_index"])
     return placed.select("path", "element_ordinal", "name")
+
+
+# one container for each row of a table -----------------------------------------------------
+
+#: A turn's text as one line of printable ASCII, which is what a text record of a page can be told by.
+TURN = r"""c AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS path, conv_id, turn, t, length(replace(t, ' ', '')) >= 3 AS solid
+  FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\x20-\x7e]', ' ', 'g') AS t FROM conversations) a)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]", " ")
+    return load(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.col("turn").cast("int").alias("turn"), text.alias("text"))
+
+
+def made(rows: DataFrame, of: Callable[..., bytes]) -> DataFrame:
+    """path, content: the container that `of` makes from a row; its first column is the path."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [of(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(blobs, pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(encode, "path string, content binary")
+
+
+#: So small that no two successive points near it are 40 apart: its text box isn't turned.
+BOX = (1.0, 1.0, 12.0, 12.0)
+
+
+def _styled(path: str, turn: int, text: str) -> bytes:
+    styles = E.colour_style(1, (turn % 256, 8, 9)) + E.style(3, struct.pack("<f", 8.0 + turn % 30)) + E.run_style(5, 0, 2)
+    if turn % 2:
+        styles += E.colour_style(0x11, (1, 2, turn % 256)) + E.run_style(6, 1, 3)
+    if turn % 3 == 0:
+        styles += E.run_style(7, 0, 1)
+    return E.note([E.Page(elements=[E.Element(BOX, text=text, styles=styles)])])
+
+
+@query(rf"""WITH {TURN} SELECT path, sha256(t) AS digest, printf('#%02x0809', turn % 256) AS color, CASE WHEN turn % 2 = 1 THEN printf('#0102%02x', turn % 256) END AS highlight,
+  turn % 2 = 1 OR turn % 3 = 0 AS underline, CAST(8 + turn % 30 AS DOUBLE) AS font_size, '0-2-true-false' || CASE WHEN turn % 2 = 1 THEN ' 1-3-false-true' ELSE '' END AS runs,
+  CAST(NULL AS DOUBLE) AS rotation FROM c WHERE solid""")
+def container_styles(spark, d):
+    """Every style field of text boxes; italic records read as underline, too."""
+    e = notes.elements(entries_of(made(turns(spark, d).select("path", "turn", "text"), _styled), ("pages", "meta"))).where("kind = 'text'")
+    t, hexed = F.col("text_box"), lambda c: C.color_hex(F.col(f"text_box.{c}"))
+    runs = F.array_join(F.transform(t["runs"], lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"), r["bold"].cast("string"), r["italic"].cast("string"))), " ")
+    return e.select("path", F.sha2(t["text"], 256).alias("digest"), hexed("color").alias("color"), hexed("highlight_color").alias("highlight"), t["underline"].alias("underline"), t["font_size"].cast("double").alias("font_size"), runs.alias("runs"), t["rotation_degrees"].alias("rotation"))
+
+
+@query(rf"""WITH {TURN}, e AS (SELECT *, replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS y FROM (SELECT *, unnest([1, 2, 3, 4]) AS part,
+    unnest([substr(t, 1, 1), CASE WHEN turn % 2 = 1 THEN substr(t, 2, 1) ELSE substr(t, 2, 1) END, CASE WHEN turn % 2 = 1 THEN substr(t, 3, 1) ELSE substr(t, 3) END, CASE WHEN turn % 2 = 1 THEN substr(t, 4) ELSE '' END]) AS x FROM c WHERE solid) u),
+  f AS (SELECT path, turn, min(CASE WHEN part = 1 THEN y END) AS a, min(CASE WHEN part = 2 THEN y END) AS b, min(CASE WHEN part = 3 THEN y END) AS c, min(CASE WHEN part = 4 THEN y END) AS d,
+    min(CASE WHEN part = 4 THEN x END) AS rest, min(CASE WHEN part = 3 THEN x END) AS third FROM e GROUP BY path, turn),
+  g AS (SELECT *, least(greatest((8 + turn % 30) * 2.18::DOUBLE, 8.0::DOUBLE), 96.0::DOUBLE) AS size FROM f)
+SELECT path, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0.0 0.0 1080.0 1527.0" width="1080" height="1527">' || chr(10) || '  <rect x="0" y="0" width="1080" height="1527" fill="#fcfcfc"/>' || chr(10)
+  || '  <g>' || chr(10)
+  || CASE WHEN turn % 2 = 1 THEN printf('    <rect x="1.00" y="1.00" width="11.00" height="11.00" fill="#0102%02x"/>', turn % 256) || chr(10) ELSE '' END
+  || '    <text x="1.00" y="' || printf('%.2f', 1 + size) || '" fill="' || printf('#%02x0809', turn % 256) || '" font-family="Arial, sans-serif" font-size="' || printf('%.2f', size) || '"' || CASE WHEN turn % 2 = 1 OR turn % 3 = 0 THEN ' text-decoration="underline"' ELSE '' END || '>'
+  || CASE WHEN turn % 2 = 1 THEN '<tspan font-weight="bold">' || a || '</tspan><tspan font-weight="bold" font-style="italic">' || b || '</tspan><tspan font-style="italic">' || c || '</tspan>' || CASE WHEN rest <> '' THEN '<tspan>' || d || '</tspan>' ELSE '' END
+    ELSE '<tspan font-weight="bold">' || a || b || '</tspan>' || CASE WHEN third <> '' THEN '<tspan>' || c || '</tspan>' ELSE '' END END
+  || '</text>' || chr(10) || '  </g>' || chr(10) || '</svg>' || chr(10) AS svg FROM g""")
+def svg_text(spark, d):
+    """Drawn text boxes: place, turn, highlight, size, colours, spans and escapes, to the letter."""
+    e = entries_of(made(turns(spark, d).where("length(replace(text, ' ', '')) >= 3").select("path", "turn", "text"), _styled), ("pages", "meta"))
+    return render.page_svg(notes.pages(e), notes.documents(e), notes.strokes(e), notes.elements(e), notes.media(e)).select("path", "svg")
+
+
+def _bodied(path: str, turn: int, text: str) -> bytes:
+    return E.note([E.Page(elements=[E.Element(BOX)] * (turn % 3))], text=text, styles=E.run_style(5, 0, 2) + E.colour_style(1, (turn % 256, 8, 9)) + bytes(32))
+
+
+@query(rf"""WITH {TURN} SELECT path, CAST(turn % 3 AS INTEGER) AS element_ordinal, sha256(t) AS digest, printf('#%02x0809', turn % 256) AS color, '0-2' AS runs, false AS underline, 0.0::DOUBLE AS x_max FROM c WHERE solid""")
+def container_body(spark, d):
+    """The typed body of a note, after the first page's elements."""
+    e = notes.elements(entries_of(made(turns(spark, d).select("path", "turn", "text"), _bodied), ("pages", "meta"))).where("kind = 'text'")
+    t = F.col("text_box")
+    runs = F.array_join(F.transform(t["runs"], lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), " ")
+    return e.select("path", "element_ordinal", F.sha2(t["text"], 256).alias("digest"), C.color_hex(F.col("text_box.color")).alias("color"), runs.alias("runs"), t["underline"].alias("underline"), t["bbox"]["x_max"].alias("x_max"))
+
+
+@query("""WITH t AS (SELECT doc_id, [144, 166, 227, 231, 502][CAST(1 + doc_id % 5 AS INTEGER)] AS base, CASE WHEN doc_id % 5 = 1 THEN doc_id * 37 % 65536 ELSE doc_id * 37 % 70000 END AS n FROM documents),
+  k AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'none' WHEN base = 166 THEN 'CustomPdf' WHEN n BETWEEN 1 AND 65535 THEN 'BuiltIn' ELSE 'none' END AS kind FROM t)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(base AS BIGINT) AS base, CASE WHEN kind <> 'none' THEN n END AS id, nullif(kind, 'none') AS source, CASE WHEN kind = 'CustomPdf' THEN n END AS page_index,
+  CASE kind WHEN 'CustomPdf' THEN 'custom PDF page ' || CAST(n + 1 AS VARCHAR) WHEN 'BuiltIn' THEN 'built-in ' || CAST(n AS VARCHAR) END AS label FROM k""")
+def container_template(spark, d):
+    """Templates in each family of page headers; a page without a background has none."""
+    rows = load(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS path", "doc_id", "IF(doc_id % 5 = 1, doc_id * 37 % 65536, doc_id * 37 % 70000) AS n")
+    e = entries_of(made(rows, lambda path, doc, n: E.note([E.Page(base=E.FAMILIES[doc % 5], template=n, background=(1, 2, 3) if doc % 7 else None)])), ("pages",))
+    t = F.col("template")
+    return notes.pages(e).select("path", "base", t["id"].alias("id"), t["source"].alias("source"), t["page_index"].alias("page_index"), C.template_label(t).alias("label"))
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS path, CAST(page_id AS VARCHAR) || '.jpg' AS file, page_id % 3 > 0 AS matches, true AS has_trailer, sha256(coalesce(html, '')) AS actual FROM pages""")
+def container_manifest(spark, d):
+    """The media manifest against the file that it names; every third one names another digest."""
+    import hashlib
+
+    def of(path: str, html: str | None) -> bytes:
+        data = (html or "").encode()
+        digest = hashlib.sha256(data + b"x" * (int(path) % 3 == 0)).hexdigest()
+        return E.container([("media/mediaInfo.dat", E.manifest_bytes(f"{path}.jpg", digest)), (f"media/{path}.jpg", data)])
+
+    e = entries_of(made(load(spark, d, "pages").selectExpr("CAST(page_id AS STRING) AS path", "html"), of), ("meta", "media"))
+    return notes.manifest_check(e).select("path", "file", "matches", "has_trailer", "actual")
+
+
+@query(rf"""WITH {TURN} SELECT path, 'x' || replace(t, ' ', '_') || 'end' AS footer, turn % 2 = 1 AS has_trailer, ['png', 'jpeg', 'gif', 'bmp'][CAST(1 + turn % 4 AS INTEGER)] AS image_kind, 'x' || replace(t, ' ', '_') || 'end' AS ascii,
+  'u' || replace(t, ' ', '_') || 'v' AS utf16 FROM c WHERE turn % 2 = 0
+UNION ALL SELECT path, 'EOFX', true, ['png', 'jpeg', 'gif', 'bmp'][CAST(1 + turn % 4 AS INTEGER)], 'x' || replace(t, ' ', '_') || 'end', 'u' || replace(t, ' ', '_') || 'v' FROM c WHERE turn % 2 = 1""")
+def container_strings(spark, d):
+    """Footer, trailer, image kind, and printable strings of an entry's bytes."""
+    magic = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF89a", b"BM")
+
+    def of(path: str, turn: int, text: str) -> bytes:
+        text = text.replace(" ", "_")
+        data = magic[turn % 4] + b"\0\0\1" + f"u{text}v".encode("utf-16-le") + b"\0\1\0" + f"x{text}end".encode() + b"\0\0" + b"EOFX" * (turn % 2)
+        return E.container([("a.bin", data)])
+
+    got = notes.inspection(entries_of(made(turns(spark, d).select("path", "turn", "text"), of)))
+    longest = lambda c: F.get(F.filter(c, lambda s: s["text"].rlike("^[xu].*(end|v)$")), F.lit(0))["text"]
+    return got.select("path", "footer", "has_trailer", "image_kind", longest("ascii").alias("ascii"), longest("utf16").alias("utf16"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, u AS uuid, m = 0 OR m = 1 AND doc_id % 2 = 0 AS matches FROM (SELECT doc_id, unnest(['a', 'b']) || CAST(doc_id AS VARCHAR) AS u, unnest([0, 1]) AS m FROM documents) q
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'c' || CAST(doc_id AS VARCHAR), false FROM documents WHERE doc_id % 2 = 1""")
+def container_page_ids(spark, d):
+    """Ids of the registry and of the page entries: of every second note one of either is alone."""
+
+    def of(path: str) -> bytes:
+        names = [f"a{path}", f"{'c' if int(path) % 2 else 'b'}{path}"]
+        return E.container([("pageIdInfo.dat", E.registry_bytes([f"a{path}", f"b{path}"])), *((f"{n}.page", E.page_bytes(E.Page(uuid=n))) for n in names)])
+
+    e = entries_of(made(load(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS path"), of), ("pages", "meta"))
+    return notes.page_id_check(e).select("path", "uuid", "matches")
