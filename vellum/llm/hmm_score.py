@@ -202,10 +202,12 @@ def _pieces(starts: np.ndarray, lengths: np.ndarray, piece: int, most: int) -> I
         at = to
 
 
-def _sequences(batch: pa.RecordBatch, name: str = "symbols") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = batch[name]
-    offsets = np.asarray(lists.offsets)
-    return np.asarray(lists.values), offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all rows, and each row's start and length."""
+    column = batch["symbols"]
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.int32)
+    return flat, (offsets[:-1] - offsets[0]) // 4, np.diff(offsets) // 4
 
 
 class HmmModel:
@@ -249,10 +251,11 @@ class HmmModel:
         return np.log10((c + EXTRA) / (self.n + EXTRA * (self.v + 1)))
 
     def _encoded(self, docs: DataFrame) -> DataFrame:
-        """row, slice, doc_id, held_out, symbols, rare (words outside the head), head_base, head_known."""
+        """row, slice, doc_id, held_out, symbols (as bytes: every pass reads them, and lists would be
+        taken apart value by value), rare (words outside the head), head_base, head_known."""
         symbols, known = self.symbols, np.concatenate([self.head_counts, np.zeros(self.classes, np.int64)])
         base = np.concatenate([self.base_log10(self.head_counts), np.zeros(self.classes)])
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("symbols", pa.list_(pa.int32())), ("rare", pa.list_(pa.binary())), ("head_base", pa.float64()), ("head_known", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("symbols", pa.binary()), ("rare", pa.list_(pa.binary())), ("head_base", pa.float64()), ("head_known", pa.int64())])
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -260,11 +263,10 @@ class HmmModel:
                     rows, out = batch.slice(at, 1000), []
                     for doc_id, text in zip(rows["doc_id"].to_pylist(), rows["text"]):
                         ids, rare = symbols.of(tokens(text.as_py()))
-                        out.append((doc_id, held_out(doc_id), ids, rare, float(base[ids].sum()), int((known[ids] > 0).sum())))
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(o[2]) for o in out]), pa.int32()), pa.array(np.concatenate([o[2] for o in out]), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([lists if i == 2 else pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                        out.append((doc_id, held_out(doc_id), ids.astype("<i4").tobytes(), rare, float(base[ids].sum()), int((known[ids] > 0).sum())))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-        ddl = "doc_id long, held_out boolean, symbols array<int>, rare array<binary>, head_base double, head_known long"
+        ddl = "doc_id long, held_out boolean, symbols binary, rare array<binary>, head_base double, head_known long"
         coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ddl)
         return coded.withColumn("row", F.monotonically_increasing_id()).withColumn("slice", F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(self.settings.slices)).cast("int"))
 
