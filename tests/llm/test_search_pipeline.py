@@ -27,7 +27,7 @@ def brute(rows, k, every):
     out = {}
     for i, q in fine:
         if i % every == 0:
-            score = lambda v: float(np.cumsum(q * v)[-1])
+            score = lambda v: float(np.cumsum([a * b for a, b in zip(q, v)])[-1])
             out[i] = sorted(((-score(v), j) for j, v in fine if j != i))[:k]
     return out
 
@@ -41,16 +41,31 @@ def test_neighbours(spark, kind):
         x = rng.normal(size=(10, 16))[rng.integers(0, 10, n)] * 5 + x * 0.1
     if kind == "copies":
         x[::3] = x[0]
-    rows = [(i, x[i].astype(np.float32).tolist()) for i in range(n)] + [(1001, None), (1020, [0.0] * 16), (1040, [None] * 16), (1060, [float("nan")] * 16), (1080, [1.0]), (None, [1.0] * 16)]
+    rows = [(i, x[i].astype(np.float32).tolist()) for i in range(n)] + [(1001, None), (1020, [0.0] * 16), (1040, [None] * 16), (1060, [float("nan")] * 16), (1080, [1.0]), (1081, [0.5, -3.0, 2.0]), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS key", "3 AS query")
     settings = Settings(block=128, query_block=16, window=8)
     got = {}
     for r in HilbertSearch(valid_vectors(df, "vec_id", "embedding"), 20, 20, Scratch(spark, "t"), settings).run().collect():
         got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
-    want = brute(rows[:n], 20, 20)
+    want = brute(rows, 20, 20)
     assert {q: [(i + 1, s, v) for i, (s, v) in enumerate(top)] for q, top in want.items()} == {q: sorted(top) for q, top in got.items()}
 
 
+def test_windows_cross_batches(spark):
+    """A query sees both sides of its window, however the rows come in batches."""
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    found = []
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    for rows in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        search = HilbertSearch(valid_vectors(df, "vec_id", "embedding"), 20, 20, Scratch(spark, "t"), Settings(window=12))
+        found.append({r.query: r.bound for r in search.bounds(search._placed()).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found[0]) == 15 and found[0] == found[1]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert HilbertSearch(valid_vectors(df, "vec_id", "embedding"), 20, 20, Scratch(spark, "t")).run().count() == 0

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +78,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def valid_vectors(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     """id, v: null ids and vectors, zero vectors, and vectors with null or non-finite components
-    take no part; nor do those of another length than most have."""
+    take no part. Vectors may differ in length: what a shorter one lacks counts as zero."""
     v = F.col(vector)
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = rows.where(F.col(id_).isNotNull() & v.isNotNull()).where(fine & F.exists(v, lambda x: x != 0))
-    some = some.select(F.col(id_).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    length = some.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return some.where(F.size("v") == (length[0]["n"] if length else 0))
+    return some.select(F.col(id_).cast("long").alias("id"), v.cast("array<double>").alias("v"))
 
 
 class HilbertSearch:
@@ -93,8 +92,10 @@ class HilbertSearch:
         self.every, self.k, self.scratch, self.settings = every, k, scratch, settings
         self.vectors = scratch.put(vectors, "vectors")
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        self.longest, width = self.vectors.agg(F.max(norm), F.max(F.size("v"))).first()
+        self.longest, width, least = self.vectors.agg(F.max(norm), F.max(F.size("v")), F.min(F.size("v"))).first()
         self.width = width or 0
+        if least != width:
+            self.vectors = self.vectors.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), self.width - F.size("v"))))
 
     def _placed(self) -> DataFrame:
         """curve, key, id, v: each vector's place on each curve. Vectors of different lengths get
@@ -121,14 +122,17 @@ class HilbertSearch:
         s, every, k = self.settings, self.every, self.k
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            before = None
-            for batch in batches:
-                ids, curves, x = np.asarray(batch["id"]), np.asarray(batch["curve"]), _matrix(batch["v"])
-                own = len(ids)
-                if before is not None:
-                    ids, curves, x = (np.concatenate([b, a]) for a, b in zip((ids, curves, x), before))
-                first = len(ids) - own
-                queries = first + np.nonzero(ids[first:] % every == 0)[0]
+            held, done = None, 0  # rows, and how many of them were asked already
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    new = np.asarray(batch["id"]), np.asarray(batch["curve"]), _matrix(batch["v"])
+                    held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
+                if held is None:
+                    return
+                ids, curves, x = held
+                # a query waits until the window after it is there
+                until = len(ids) if batch is None else max(done, len(ids) - s.window)
+                queries = done + np.nonzero(ids[done:until] % every == 0)[0]
                 for at in range(0, len(queries), 256):
                     q = queries[at : at + 256]
                     near = q[:, None] + np.arange(-s.window, s.window + 1)[None, :]
@@ -138,7 +142,8 @@ class HilbertSearch:
                     score = np.einsum("qd,qwd->qw", x[q], x[near])
                     rows, places = np.nonzero(fine)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[q][rows]), pa.array(ids[near[rows, places]]), pa.array(score[rows, places])], names=["query", "id", "score"])
-                before = tuple(a[-2 * s.window :] for a in (ids, curves, x))
+                gone = max(0, until - s.window)
+                held, done = tuple(a[gone:] for a in held), until - gone
 
         ordered = placed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
         found = ordered.mapInArrow(windows, "query long, id long, score double").groupBy("query", "id").agg(F.max("score").alias("score"))
@@ -237,7 +242,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), s AS (
   SELECT q.vec_id AS query_id, d.vec_id,
-    list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i]), lambda a, x: a + x) AS score
+    list_reduce(list_transform(range(1, least(len(q.e), len(d.e)) + 1), lambda i: q.e[i] * d.e[i]), lambda a, x: a + x) AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
