@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_or_empty
-from .near_dedup import _WORDS, _grouped, _mix
+from .common import Scratch, remembered, table, text_or_empty
+from .near_dedup import WordHashes, _grouped, _mix
 
 PLAIN, CONTENT, SUSPECT = 0, 1, 2
 #: Rows of a number and a few bytes, or keys of runs, that may be broadcast; more are joined by a shuffle.
@@ -216,7 +216,8 @@ def suffixes(words: list[str], run: int) -> np.ndarray:
     n = len(words) - run + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    w = np.fromiter((_WORDS[x.encode("utf-8", "surrogatepass")] for x in words), np.uint64, len(words))
+    hashes = remembered("words", WordHashes)
+    w = np.fromiter((hashes[x.encode("utf-8", "surrogatepass")] for x in words), np.uint64, len(words))
     factors = _mix(np.arange(1, run + 1, dtype=np.uint64)) | np.uint64(1)
     total = np.zeros(n, np.uint64)
     for i in range(run):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SMALL, Scratch, join_facts, listed, own_names, row_hash, table, text_or_empty
+from .common import SMALL, Scratch, join_facts, listed, own_names, remembered, row_hash, table, text_or_empty, tidied
 from .components import connected_components
 
 #: Members outside, and members, that are compared in one block. A task holds the former only.
@@ -61,15 +61,12 @@ class WordHashes(dict):
         return value
 
 
-_WORDS = WordHashes()
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted hashes of the distinct runs of k words; of all words, if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, _U64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), _U64, len(words))
+    w = np.fromiter(map(remembered("words", WordHashes).__getitem__, words), _U64, len(words))
     size = min(k, len(w))
     factors = _mix(np.arange(1, size + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15) + _U64(size)) | _U64(1)
     total = np.zeros(len(w) - size + 1, _U64)
@@ -118,7 +115,7 @@ def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(sketch, pa.binary())], names=["doc_id", "text_key", "n", "fp", "bands", "sketch"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty()).alias("text_key"), "text")
-    return keyed.mapInArrow(profile, PROFILE)
+    return keyed.mapInArrow(tidied(profile), PROFILE)
 
 
 def _grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -215,7 +212,7 @@ class NearDuplicates:
                     share = (x == y).mean(axis=1)
                     yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= least))
 
-        return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long, share double")
+        return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(tidied(compare), "a long, b long, share double")
 
     def _with_sets(self, wanted: DataFrame) -> DataFrame:
         """cid, shingles (sorted 64-bit hashes) and low (their upper halves) of the wanted classes;
@@ -238,7 +235,7 @@ class NearDuplicates:
 
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.md5(text_or_empty()))
         texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-        new = self.scratch.put(texts.select("cid", "text").mapInArrow(shingle, "cid long, shingles binary, low binary"), "sets")
+        new = self.scratch.put(texts.select("cid", "text").mapInArrow(tidied(shingle), "cid long, shingles binary, low binary"), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         return self.sets
 
@@ -271,7 +268,7 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
         met = heads.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-        return met.select("a", "b", "shingles").mapInArrow(confirm, "a long, b long")
+        return met.select("a", "b", "shingles").mapInArrow(tidied(confirm), "a long, b long")
 
     def _link(self, pairs: DataFrame) -> None:
         """Confirm pairs (a, b), and bring the components up to date."""
@@ -360,7 +357,7 @@ class NearDuplicates:
 
         keys = ["bucket", "part", "chunk"]
         placed = one.unionByName(two).repartition(*keys).sortWithinPartitions(*keys, "role")
-        return placed.mapInArrow(compare, "a long, b long, share double")
+        return placed.mapInArrow(tidied(compare), "a long, b long, share double")
 
     def run(self) -> "NearDuplicates":
         first = self._banded(FIRST).select("bucket", "cid")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import Scratch, remembered, table, tidied
 
 #: What may follow a letter or digit as a token of its own.
 _TAIL = ".,;:!?%&$*#|"
@@ -68,18 +68,16 @@ class ChunkEncoder:
         return self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in lines])
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str | None) -> ChunkEncoder:
     """One encoder for each worker process: later tasks profit from what earlier ones learned."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    encoders = remembered("encoders", dict)
+    if path not in encoders:
+        encoders[path] = ChunkEncoder(path)
+    return encoders[path]
 
 
 PIECES = "doc_id long, doc long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -116,7 +114,7 @@ def token_pieces(docs: DataFrame, room: int, end_id: int, tokenizer: str | None
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     assert names == arrow.names
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(tidied(cut), schema)
 
 
 def plan_patterns(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -234,7 +232,7 @@ def pack(pieces: DataFrame, room: int, scratch: Scratch) -> DataFrame:
             kept = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([batch[n] for n in kept] + [pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join([*columns, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(tidied(place), ", ".join([*columns, "sequence_id long", "offset long"]))
 
 
 def op6_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_names, table, text_or_empty
+from .common import Scratch, own_names, table, text_or_empty, tidied
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
@@ -249,7 +249,7 @@ class QualityModel:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(q, ints), pa.array(t, ints), pa.array(f, ints)], names=["doc_id", "quality_votes", "toxic_votes", "features"])
 
         ddl = "doc_id long, quality_votes array<int>, toxic_votes array<int>, features array<int>"
-        return _texts(docs).mapInArrow(vote, ddl)
+        return _texts(docs).mapInArrow(tidied(vote), ddl)
 
     def _train(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the features that have a weight, their weights, and the biases."""
@@ -270,7 +270,7 @@ class QualityModel:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["used", "weights", "bias"])
 
         sample = rows.where("features is not null").select("q", "t", "features").coalesce(1)
-        got = sample.mapInArrow(train, "used binary, weights binary, bias binary").collect()  # one model, its features with a weight
+        got = sample.mapInArrow(tidied(train), "used binary, weights binary, bias binary").collect()  # one model, its features with a weight
         if not got:
             return np.empty(0, np.int32), np.empty((2, 0), np.float32), np.full(2, -20.0)
         used = np.frombuffer(got[0]["used"], np.int32)
@@ -296,7 +296,7 @@ class QualityModel:
                 kept = [c for c in batch.schema.names if c != held]
                 yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*kept, low, toxic])
 
-        return docs.withColumn(held, text_or_empty()).mapInArrow(score, f"{kinds}, `{low}` double, `{toxic}` double")
+        return docs.withColumn(held, text_or_empty()).mapInArrow(tidied(score), f"{kinds}, `{low}` double, `{toxic}` double")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
