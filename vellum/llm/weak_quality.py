@@ -9,6 +9,7 @@ over hashed words, word beginnings and text shapes, and the scorer decides on ev
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_names, table, text_or_empty, tidied
+from .common import Scratch, own_names, remembered, table, tidied
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
@@ -235,7 +236,7 @@ class QualityModel:
         ints = pa.list_(pa.int32())
 
         def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            features = Features(s.bits)
+            features = remembered(f"features of {s.bits} bits", lambda: Features(s.bits))
             for batch in batches:
                 q, t, f = [], [], []
                 for doc_id, lang, text in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), batch["text"]):
@@ -279,24 +280,23 @@ class QualityModel:
     def scored(self, docs: DataFrame, low: str = "p_low", toxic: str = "p_toxic") -> DataFrame:
         """All columns of docs, with the scorer's probabilities under the two names."""
         (used, weights, bias), bits = self.linear, self.settings.bits
-        held = own_names(docs, "whole_text")[0]
+        at, own = [c.lower() for c in docs.columns].index("text"), f"features with a weight {uuid.uuid4().hex}"
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             linear = Linear(np.zeros((2, 1 << bits), np.float32), bias)
             linear.weights[:, used] = weights
-            features = Features(bits, (linear.weights != 0).any(axis=0))
+            features = remembered(own, lambda: Features(bits, (linear.weights != 0).any(axis=0)))
             for batch in batches:
                 p = np.zeros((batch.num_rows, 2))
-                for i, text in enumerate(batch[held]):
-                    text = text.as_py()
+                for i, text in enumerate(batch.column(at)):
+                    text = text.as_py() or ""
                     words, shares = _WORD.findall(text.lower()), _shares(text)
                     if shares["words"]:
                         p[i] = linear.score(features.of(words, shares, quality_votes(shares) + toxic_votes(words, None)))
-                kept = [c for c in batch.schema.names if c != held]
-                yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*kept, low, toxic])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*batch.schema.names, low, toxic])
 
-        return docs.withColumn(held, text_or_empty()).mapInArrow(tidied(score), f"{kinds}, `{low}` double, `{toxic}` double")
+        return docs.mapInArrow(tidied(score), f"{kinds}, `{low}` double, `{toxic}` double")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
