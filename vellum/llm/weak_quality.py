@@ -171,7 +171,9 @@ class Linear:
         """Mask of the features that speak for bad: log odds above 0 by s.z standard errors, in
         enough texts. The rest say nothing or only that a text is a usual one: each would add
         little, but a long text has thousands of them."""
-        good, bad = (np.bincount(np.concatenate([ids[i] for i in np.nonzero(of)[0]] or [np.empty(0, np.int32)]), minlength=size) for of in (labels <= 0.5, labels > 0.5))
+        good, bad = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for one, label in zip(ids, labels):
+            (bad if label > 0.5 else good)[one] += 1  # a text's features are distinct
         odds = np.log((bad + 0.5) / ((labels > 0.5).sum() + 1)) - np.log((good + 0.5) / ((labels <= 0.5).sum() + 1))
         return (odds >= s.z * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))) & (good + bad >= s.least)
 
