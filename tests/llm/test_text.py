@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+import xxhash
 from pyarrow import fs
 
 from vellum.llm import html_text, warc, weak_quality
@@ -443,6 +444,18 @@ def labelled(n, seed):
     return rows, labels
 
 
+def test_features_of_a_text_with_and_without_a_mask():
+    words, shares = ["votes", "upper", "é", "votes"], weak_quality._shares("votes upper é votes")
+    every = weak_quality.Features(20).of(words, shares, [2, 0])
+    number = lambda part: xxhash.xxh32_intdigest(part.encode()) & (1 << 20) - 1
+    shape = [f"{k}={min(12, int(shares[k] * 40))},1" for k in ("symbols", "bars", "upper", "top", "repeats")] + ["vote 0=2", "vote 1=0"]
+    assert every.tolist() == sorted({number(p) for p in ["votes", "^vote", "^votes", "upper", "^uppe", "^upper", "é", *shape]})
+    live = np.zeros(1 << 20, bool)
+    live[[number("^uppe"), number("^vote"), number("vote 0=2")]] = True
+    assert weak_quality.Features(20, live).of(["é"], shares, [2, 0]).tolist() == [number("vote 0=2")]  # shapes have no word beginnings
+    assert weak_quality.Features(20, live).of(words, shares, [2, 0]).tolist() == sorted(map(number, ("^uppe", "^vote", "vote 0=2")))
+
+
 def test_quality(spark):
     rows, labels = labelled(1500, 3)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, low boolean, toxic boolean").selectExpr("*", "1 AS quality", "'x' AS features", "'y' AS whole_text")

@@ -139,6 +139,11 @@ def remembered(name: str, make: Callable[[], dict]) -> dict:
     return _REMEMBERED[name]
 
 
+def forget() -> None:
+    """Forget what this worker remembers, before a task that needs the memory itself."""
+    _REMEMBERED.clear()
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df doesn't have, whatever the case of letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_names, remembered, table, tidied
+from .common import Scratch, forget, own_names, remembered, table, tidied
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 
@@ -99,32 +100,28 @@ def toxic_votes(words: list[str], lang: str | None) -> list[int]:
 
 
 class Features(dict):
-    """word -> its hashed features: the word, and its first 4, 5 and 6 letters."""
+    """word -> its hashed features as 32-bit numbers in bytes: the word, and its first 4, 5 and 6 letters."""
 
     def __init__(self, bits: int, live: np.ndarray | None = None):
         """live: mask of the features that matter; the others are left out."""
         self.mask, self.live = (1 << bits) - 1, live
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        parts = [word] + [f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k]
-        ids = tuple(xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & self.mask for p in parts)
-        if self.live is not None:
-            ids = tuple(i for i in ids if self.live[i])
+    def numbers(self, parts: list[str]) -> bytes:
+        ids = [xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & self.mask for p in parts]
+        return array("i", ids if self.live is None else [i for i in ids if self.live[i]]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.numbers([word] + [f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k])
         if len(self) < REMEMBERED:
             self[word] = ids
         return ids
 
     def of(self, words: list[str], shares: dict[str, float], votes: list[int]) -> np.ndarray:
         """Distinct feature numbers of one text."""
-        found: set[int] = set()
-        for w in set(words):
-            found.update(self[w])
         n = min(5, int(shares["words"]).bit_length() // 2)
-        for k in ("symbols", "bars", "upper", "top", "repeats"):
-            found.update(self[f"{k}={min(12, int(shares[k] * 40))},{n}"][:1])
-        for j, v in enumerate(votes):
-            found.update(self[f"vote {j}={v}"][:1])
-        return np.fromiter(sorted(found), np.int32, len(found))
+        shape = [f"{k}={min(12, int(shares[k] * 40))},{n}" for k in ("symbols", "bars", "upper", "top", "repeats")]
+        shape += [f"vote {j}={v}" for j, v in enumerate(votes)]
+        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, set(words))) + self.numbers(shape), np.int32))
 
 
 def em(patterns: dict[tuple[int, ...], int], labellers: int, prior: float, trust: float, silence: bool, rounds: int = 60) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
@@ -259,6 +256,7 @@ class QualityModel:
         s, posteriors = self.settings, self.posteriors
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             ids, labels = [], []
             for batch in batches:
                 for q, t, f in zip(batch["q"].to_pylist(), batch["t"].to_pylist(), batch["features"]):
