@@ -38,7 +38,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of up to 1024: a row per piece, with its ids (operator 6)."""
-    return pack(token_pieces(docs, 1024, 2, keep_ids=True), 1024, Scratch(spark, "pack")).drop("doc")
+    pieces = token_pieces(docs, 1024, 2, keep_ids=True, chunks=150_000)  # workers that ran other stages have less room
+    return pack(pieces, 1024, Scratch(spark, "pack")).drop("doc")
 
 
 STAGES = [

@@ -51,7 +51,7 @@ class ChunkEncoder:
     that hold the string of an added token, are encoded whole.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,32 +68,33 @@ class ChunkEncoder:
         return self.line.join([plain[line[0]] + b"".join(map(spaced, line[1:])) for line in lines])
 
 
-def encoder(path: str | None) -> ChunkEncoder:
+def encoder(path: str | None, chunks: int = 400_000) -> ChunkEncoder:
     """One encoder for each worker process: later tasks profit from what earlier ones learned."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     encoders = remembered("encoders", dict)
-    if path not in encoders:
-        encoders[path] = ChunkEncoder(path)
-    return encoders[path]
+    if (path, chunks) not in encoders:
+        encoders[path, chunks] = ChunkEncoder(path, chunks)
+    return encoders[path, chunks]
 
 
 PIECES = "doc_id long, doc long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def token_pieces(docs: DataFrame, room: int, end_id: int, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, room: int, end_id: int, tokenizer: str | None = None, keep_ids: bool = False, chunks: int = 400_000) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text): null text is empty, and an empty
     text is the end token alone. Longer documents are cut from their end, so that only the first
-    piece is short. part and nth: the task, and the number among its pieces of this length."""
+    piece is short. part and nth: the task, and the number among its pieces of this length. chunks:
+    how many of them a worker remembers."""
     schema = PIECES + (", ids binary" if keep_ids else "")
     names = [f.split()[0] for f in schema.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     arrow = pa.schema([(f.split()[0], types[f.split()[1]]) for f in schema.split(", ")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, coder, seen, doc = TaskContext.get().partitionId(), encoder(tokenizer), np.zeros(room + 1, np.int64), 0
+        part, coder, seen, doc = TaskContext.get().partitionId(), encoder(tokenizer, chunks), np.zeros(room + 1, np.int64), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
